@@ -47,21 +47,29 @@ def _room(n: int) -> int:
     return 1 << max(16, int(n).bit_length())
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts in order, and how many words each text has."""
+def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """All texts in one string, where each word starts and ends in it, and how many words each text has."""
     raw = b" ".join(texts)
     codes = np.frombuffer(raw + b" ", np.uint8)
-    if not len(texts):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     gap = _SPACE[codes]
     edges = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
     starts, ends = edges[::2], edges[1::2]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    firsts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1])) if len(texts) else sizes
+    return raw, starts, ends, np.diff(np.concatenate((np.searchsorted(starts, firsts), [len(starts)])))
+
+
+def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    codes = np.frombuffer(raw, np.uint8)
     n = _room(len(codes))
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), n)[: len(codes)])))
-    hashes = mixed((sums[ends] - sums[starts]) * _powers(int(_INVERSE), n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    firsts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    return hashes, np.diff(np.concatenate((np.searchsorted(starts, firsts), [len(starts)])))
+    return mixed((sums[ends] - sums[starts]) * _powers(int(_INVERSE), n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and how many words each text has."""
+    raw, starts, ends, counts = word_spans(texts)
+    return span_hashes(raw, starts, ends), counts
 
 
 def shingle_hashes(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +164,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
 
     Null texts are empty; an empty text has the empty fingerprint. Null ids come last, repeated ids in the order of their texts. An empty table gives an empty table. The texts are dealt by ranges of doc_id once; other columns are not looked at."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return with_neighbours(rows, [F.col("doc_id").desc_nulls_last(), F.col("text").asc()], "text", compare, OUT, DDL, ring=True)
+    return with_neighbours(rows, [F.col("doc_id").desc_nulls_last(), F.col("text").asc()], "text", compare, OUT, DDL, ring=True, dealt=1)
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

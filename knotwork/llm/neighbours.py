@@ -19,10 +19,10 @@ from knotwork.llm.common import stored
 Rows = list[dict]
 
 
-def with_neighbours(df: DataFrame, order: list[Column], text: str, make: Callable[[Rows, Rows, Rows], Rows], out: pa.Schema, ddl: str, ring: bool = False) -> DataFrame:
+def with_neighbours(df: DataFrame, order: list[Column], text: str, make: Callable[[Rows, Rows, Rows], Rows], out: pa.Schema, ddl: str, ring: bool = False, dealt: int | None = None) -> DataFrame:
     """make(befores, rows, afters) for all rows in slices; a list has None where there is no such row.
 
-    In a `ring` the first row comes after the last, and a single row is its own neighbour. `order` must decide between all rows that differ in what `make` reads; rows alike are interchangeable. `text` is the string column by which slices are measured. `ddl` says what `out` says."""
+    In a `ring` the first row comes after the last, and a single row is its own neighbour. `order` must decide between all rows that differ in what `make` reads; rows alike are interchangeable. Rows are dealt by the first `dealt` columns of the order only (all by default), whose values the driver samples. `text` is the string column by which slices are measured. `ddl` says what `out` says."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     row = pa.struct(list(to_arrow_schema(df.schema)))
@@ -62,7 +62,7 @@ def with_neighbours(df: DataFrame, order: list[Column], text: str, make: Callabl
             yield edge(held[0], held[1], None, False, True)
 
     inner = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in df.schema)
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_ = df.repartitionByRange(*order[:dealt]).sortWithinPartitions(*order)
     kept = stored(sorted_.mapInArrow(run, f"{ddl}, __part int, __first boolean, __last boolean, __a struct<{inner}>, __b struct<{inner}>, __c struct<{inner}>"), "neighbours")
     done = kept.where("__first is null").drop("__part", "__first", "__last", "__a", "__b", "__c")
 

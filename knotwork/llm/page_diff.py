@@ -239,7 +239,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     parsed = source.mapInArrow(run, "page_id long, url string, host string, path string, main string, rest string")
     order = [F.col("host").asc(), F.col("path").asc(), F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("main").asc(), F.col("rest").asc()]
-    return with_neighbours(parsed, order, "main", _texts, _OUT, "page_id long, url string, text string, n_chars long")
+    return with_neighbours(parsed, order, "main", _texts, _OUT, "page_id long, url string, text string, n_chars long", dealt=3)
 
 
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
