@@ -248,9 +248,10 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
                 distinct_places, back = np.unique(place[there], return_inverse=True)
                 n = table_[distinct_places].astype(float)
                 logs, c = logs_of(n, sub[distinct_places].astype(float)), n.sum(1)
-                base = np.bincount(of[there], base_of(c)[back], len(texts))
+                per_text = lambda v: np.bincount(of[there], v, len(texts)).astype(float)  # noqa: E731  whole numbers where nothing is there
+                base = per_text(base_of(c)[back])
                 met = np.bincount(of[there], (c > 0)[back], len(texts)).astype(np.int64)
-                sums = np.stack([np.bincount(of[there], logs[back, g], len(texts)) for g in range(k)], 1)
+                sums = np.stack([per_text(logs[back, g]) for g in range(k)], 1)
                 rest = [Counter() for _ in texts]
                 for i in np.flatnonzero(~there).tolist():
                     rest[of[i]][raw[starts[i] : ends[i]]] += 1
