@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import table
+from knotwork.llm.common import stored, table
 from knotwork.llm.neighbours import with_neighbours
 
 #: Text of these elements is never shown or is no article text.
@@ -209,14 +209,15 @@ _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.str
 
 
 def _texts(befores: list[dict | None], rows: list[dict], afters: list[dict | None]) -> list[dict]:
+    """The texts of those rows whose page marks no article."""
     out = []
     for a, b, c in zip(befores, rows, afters):
-        text = b["main"]
-        if not text and b["rest"]:
-            a, c = (x if x and x["host"] == b["host"] else None for x in (a, c))
-            other = a if a and (not c or nearer(b["path"], a["path"], c["path"])) else c
-            # The neighbour's own article is no boilerplate of the site; only what stands around it counts.
-            text = "\n".join(differenced(b["rest"].split("\n"), other["rest"].split("\n") if other else None))
+        if b["marked"]:
+            continue
+        a, c = (x if x and x["host"] == b["host"] else None for x in (a, c))
+        other = a if a and (not c or nearer(b["path"], a["path"], c["path"])) else c
+        # The neighbour's own article is no boilerplate of the site; only what stands around it counts.
+        text = "\n".join(differenced(b["rest"].split("\n"), other["rest"].split("\n") if other else None)) if b["rest"] else ""
         out.append({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": len(text)})
     return out
 
@@ -224,7 +225,7 @@ def _texts(befores: list[dict | None], rows: list[dict], afters: list[dict | Non
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
-    Null html is empty and has the empty text; a null or odd url is a host of its own; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. After parsing only lines move: pages are dealt by ranges of host and path, so one large host spreads over many tasks."""
+    Null html is empty and has the empty text; a null or odd url is a host of its own; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. Marked articles don't move: only the lines around them, and those of pages without a mark, are dealt by ranges of host and path, so one large host spreads over many tasks."""
 
     def run(batches):
         for batch in batches:
@@ -237,9 +238,12 @@ def extracted(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    parsed = source.mapInArrow(run, "page_id long, url string, host string, path string, main string, rest string")
-    order = [F.col("host").asc(), F.col("path").asc(), F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("main").asc(), F.col("rest").asc()]
-    return with_neighbours(parsed, order, "main", _texts, _OUT, "page_id long, url string, text string, n_chars long", dealt=3)
+    parsed = stored(source.mapInArrow(run, "page_id long, url string, host string, path string, main string, rest string"), "parsed")
+    marked = F.col("main") != ""
+    whole = parsed.where(marked).select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
+    order = [F.col("host").asc(), F.col("path").asc(), F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("marked").asc(), F.col("rest").asc()]
+    around = parsed.select("page_id", "url", "host", "path", "rest", marked.alias("marked"))
+    return whole.unionByName(with_neighbours(around, order, "rest", _texts, _OUT, "page_id long, url string, text string, n_chars long", dealt=3))
 
 
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
