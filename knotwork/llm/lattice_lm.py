@@ -21,14 +21,14 @@ from knotwork.llm.common import remainder, stored, table, whole
 from knotwork.llm.fingerprints import span_hashes, word_spans
 
 #: Words that are broadcast, at most; one takes 12 bytes and 4 for each language.
-FREQUENT = 1 << 21
+FREQUENT = 1 << 19
 #: Languages with counts of their own; the others share one more.
 LANGUAGES = 7
 DISCOUNT = 0.65
 #: Added to each piece's count.
 SMOOTH = 0.01
 #: A partition's counts are sent on when so many words have been gathered.
-HELD_WORDS = 1 << 19
+HELD_WORDS = 1 << 17
 BAR = "▁"  # U+2581, at the start of a word's first piece
 
 
@@ -133,7 +133,7 @@ def count_words(docs: DataFrame, groups: list) -> DataFrame:
     def run(batches):
         found, others = [Counter() for _ in range(k)], set()
         for batch in batches:
-            for part in slices(batch, 0):
+            for part in slices(batch, 0, 1 << 21):
                 for text, g in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     if g is None:
                         others.update(tokens(text))
@@ -214,15 +214,15 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
         if n > room:
             break
         room, least = room - n, s
-    top = known.where(step >= least).select("hash", "sub", *names).toPandas()
-    order = np.argsort(top["hash"].to_numpy())
-    hashes = top["hash"].to_numpy()[order]
-    twice = hashes[:-1][np.diff(hashes) == 0] if len(hashes) else hashes  # words with one hash are looked up by the join
-    sub = top["sub"].to_numpy()[order].astype(np.float32)
-    table_ = top[names].to_numpy()[order].astype(np.int64)
-    del top
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((hashes, sub, np.minimum(table_, 2**31 - 1).astype(np.int32), frozenset(twice.tolist())))
+    top = known.where(step >= least).select("hash", F.col("sub").cast("float").alias("sub"), *(F.least(n, F.lit(2**31 - 1)).cast("int").alias(n) for n in names)).toArrow()
+    hashes = top.column("hash").to_numpy()
+    order = np.argsort(hashes)
+    hashes = hashes[order]
+    twice = hashes[:-1][np.diff(hashes) == 0]  # words with one hash are looked up by the join
+    packed = (hashes, top.column("sub").to_numpy()[order], np.stack([top.column(n).to_numpy()[order] for n in names], 1), frozenset(twice.tolist()))
+    del top, order, hashes
+    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    del packed
 
     def logs_of(n: np.ndarray, sub: np.ndarray) -> np.ndarray:
         """Natural log of the probability of words with counts n (words x groups) under each group."""
@@ -236,7 +236,7 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
         hashes, sub, table_, twice = shared.value
         part, at = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for piece in slices(batch, 1):
+            for piece in slices(batch, 1, 1 << 21):
                 texts = [t.encode("utf-8", "replace").lower() for t in piece.column(1).to_pylist()]
                 raw, starts, ends, counts = word_spans(texts)
                 own = span_hashes(raw, starts, ends).view(np.int64)
@@ -268,12 +268,15 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
 
     # The other words: joined by the word itself, summed by the row's number.
     rare = seen.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    looked = rare.join(known.where((step < least) | F.col("hash").isin([int(h) for h in twice[:1000]])) if len(twice) < 1000 else known, "word").select("row", "times", "sub", "c", *names)
-    sub_p = F.exp(F.greatest(F.col("sub"), F.lit(-600.0)))
-    parts = [F.col("times") * F.log(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / max(t, 1.0) + max(DISCOUNT * v / max(t, 1.0) if t > 0 else 0.5, 1e-12) * sub_p) for n, t, v in zip(names, totals.tolist(), kinds_in.tolist())]
+    others = known.where((step < least) | F.col("hash").isin(twice.tolist())) if len(twice) < 1000 else known
+    looked = rare.join(others, "word").select("row", "times", F.greatest(F.col("sub"), F.lit(-600.0)).alias("sub"), "c", *names)
+    # Most words are known to one group. For the others the lattice's part is all, and it is summed once for all of them.
+    backs = [max(DISCOUNT * v / max(t, 1.0) if t > 0 else 0.5, 1e-12) for t, v in zip(totals.tolist(), kinds_in.tolist())]
+    more = [F.when(F.col(n) > 0, F.col("times") * (F.log(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / max(t, 1.0) + b * F.exp("sub")) - F.col("sub") - math.log(b))).otherwise(0.0) for n, t, b in zip(names, totals.tolist(), backs)]
     bases = F.col("times") * F.log10((F.col("c") + 1.0) / (total + 1.0 * (distinct + 1)))
-    added = looked.select("row", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("met2"), bases.alias("base2"), *(p.alias(f"s{i}") for i, p in enumerate(parts)))
-    added = added.groupBy("row").agg(F.sum("met2").alias("met2"), F.sum("base2").alias("base2"), *(F.sum(f"s{i}").alias(f"s{i}") for i in range(k)))
+    added = looked.select("row", "times", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("met2"), bases.alias("base2"), (F.col("times") * F.col("sub")).alias("sub2"), *(p.alias(f"s{i}") for i, p in enumerate(more)))
+    added = added.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("times", "met2", "base2", "sub2", *(f"s{i}" for i in range(k)))))
+    added = added.select("row", "met2", "base2", *((F.col(f"s{i}") + F.col("sub2") + F.col("times") * math.log(backs[i])).alias(f"s{i}") for i in range(k)))
     both = seen.drop("words", "times").join(added, "row", "left")
 
     ends = [math.log(t / max(n, 1.0)) if t else math.log(0.5) if not total else -745.0 for t, n in zip(texts_in, totals.tolist())]
