@@ -1,6 +1,6 @@
 """Language-model scores: the marginal probability of a text over all its segmentations into the pieces of an existing subword vocabulary.
 
-A word is generated in one of two ways: as a known whole, or piece by piece until a stop. The pieces are those of an existing vocabulary; their scores start from its ranks and are weighed by how often its own segmentation uses them in the training words, each distinct word counted once. A forward recursion in log space adds up all paths through the lattice of a word's pieces. Whole words take their count less a discount; what the discount frees goes to the lattice. Languages differ in their words, so counts are kept by language, and a text's probability is the sum over languages of their share times what they give the whole text; the language of a scored text is not looked at.
+A word is generated in one of two ways: as a known whole, or piece by piece until a stop. The pieces are those of an existing vocabulary; their scores start from its ranks and how often its own segmentation uses them in the training words, each distinct word counted once, and are then fitted by ROUNDS of expected counts over all segmentations. A forward recursion in log space adds up all paths through the lattice of a word's pieces. Whole words take their count less a discount; what the discount frees goes to the lattice. Languages differ in their words, so counts are kept by language, and a text's probability is the sum over languages of their share times what they give the whole text; the language of a scored text is not looked at.
 
 Words are counted over the whole corpus, so a vocabulary is no bounded thing. The words that fit FREQUENT places, by count, are broadcast; all other words of a document are looked up by a join.
 """
@@ -27,6 +27,8 @@ LANGUAGES = 7
 DISCOUNT = 0.65
 #: Added to each piece's count.
 SMOOTH = 0.01
+#: Rounds of expected counts after the first count.
+ROUNDS = 2
 #: A partition's counts are sent on when so many words have been gathered.
 HELD_WORDS = 1 << 17
 BAR = "▁"  # U+2581, at the start of a word's first piece
@@ -66,12 +68,14 @@ class Lattice:
                 self.scores.setdefault(pieces[i][:k], None)
             self.scores[pieces[i]] = float(logs[i])
 
-    def logp(self, word: str) -> float:
-        """Natural log of the word's probability: the forward recursion over its lattice."""
+    def logp(self, word: str, used: dict[str, float] | None = None) -> float:
+        """Natural log of the word's probability: the forward recursion over its lattice. `used` gets how often each piece is used in a segmentation drawn by its probability, from a recursion back."""
         text = BAR + word.replace(BAR, "▂")
         n, scores, log, exp = len(text), self.scores, math.log, math.exp
         arrive: list[list[float]] = [[] for _ in range(n + 1)]
         arrive[0].append(0.0)
+        arcs: list[tuple[int, int, float, float]] = []
+        heres = [0.0] * (n + 1)
         for i in range(n):
             into = arrive[i]
             if not into:
@@ -81,6 +85,7 @@ class Lattice:
             else:
                 top = max(into)
                 here = top + log(sum([exp(x - top) for x in into]))
+            heres[i] = here
             j, single = i, False
             while j < n:
                 j += 1
@@ -91,11 +96,26 @@ class Lattice:
                     break
                 arrive[j].append(here + s)
                 single |= j == i + 1
+                if used is not None:
+                    arcs.append((i, j, here, s))
             if not single and i:
-                arrive[i + 1].append(here + sum(self.byte[b] for b in text[i].encode("utf-8", "replace")))
+                s = sum(self.byte[b] for b in text[i].encode("utf-8", "replace"))
+                arrive[i + 1].append(here + s)
+                if used is not None:
+                    arcs.append((i, i + 1, here, s))
         into = arrive[n]
         top = max(into)
-        return top + log(sum([exp(x - top) for x in into])) + self.stop
+        total = top + log(sum([exp(x - top) for x in into]))
+        if used is not None:
+            heres[n] = total
+            # From the end: how likely a segmentation has a cut at each place, and of those that have it, which piece led there.
+            cut = [0.0] * n + [1.0]
+            for i, j, before, s in reversed(arcs):
+                share = cut[j] * exp(before + s - heres[j])
+                cut[i] += share
+                piece = text[i:j]
+                used[piece] = used.get(piece, 0.0) + share
+        return total + self.stop
 
 
 def usable(path: str) -> tuple[list[str], np.ndarray]:
@@ -196,6 +216,34 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
             counts[i] = n
     lattice = Lattice(pieces, kinds, counts, uses.get(-1, 0))
 
+    def expected(lattice: Lattice):
+        number = {p: i for i, p in enumerate(pieces) if kinds[i] in (1, 2)}
+        single = {i - int(np.flatnonzero(kinds == 3)[0]): int(i) for i in np.flatnonzero(kinds == 3)}
+
+        def run(batches):
+            found = np.zeros(len(pieces))
+            for batch in batches:
+                seen: dict[str, float] = {}
+                for w in batch.column(0).to_pylist():
+                    lattice.logp(w.decode("utf-8", "replace"), seen)
+                for p, x in seen.items():
+                    if (i := number.get(p)) is not None:
+                        found[i] += x
+                    else:
+                        for b in p.encode("utf-8", "replace"):
+                            found[single[b]] += x
+            there = np.flatnonzero(found)
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(found[there])], names=["i", "x"])
+
+        return run
+
+    for _ in range(ROUNDS):
+        weighed = words.where("c > 0").select("word").mapInArrow(expected(lattice), "i long, x double").groupBy("i").agg(F.sum("x").alias("x"))
+        counts = np.zeros(len(pieces))
+        for r in weighed.collect():
+            counts[r["i"]] = r["x"]
+        lattice = Lattice(pieces, kinds, counts, uses.get(-1, 0))
+
     def with_lattice(batches):
         for batch in batches:
             listed = batch.column(0).to_pylist()
