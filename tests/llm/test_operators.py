@@ -66,7 +66,6 @@ def brute_components(rows, size, percent):
 def test_join_against_brute_force(spark, block, monkeypatch):
     """Copies, a chain of near copies that only neighbours link, texts around the limit, and a passage that all share."""
     monkeypatch.setattr(ngram_join, "BLOCK", block)
-    monkeypatch.setattr(ngram_join, "CELLS", 1 << 12)
     rng = random.Random(5)
     base = [f"w{rng.randint(0, 500)}" for _ in range(80)]
     passage = [f"p{i}" for i in range(40)]
