@@ -31,7 +31,7 @@ def with_neighbours(df: DataFrame, order: list[Column], text: str, make: Callabl
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Rows]:
         for batch in batches:
-            for part in slices(batch, text, 1 << 22):
+            for part in slices(batch, text, 1 << 21):
                 if part.num_rows:
                     yield part.to_pylist()
 

@@ -59,7 +59,7 @@ def classes_of(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 21):
                 hashes, of = shingle_sets(part.column(1).to_pylist(), words)
                 keys, sizes = keys_of(hashes, of, part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(sizes)], names=["doc_id", "key", "n"])
@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, words: int) -> np.ndarray:
     def partial(batches):
         total = np.zeros((2, CELLS), np.uint32)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 21):
                 hashes, _ = shingle_sets(part.column(1).to_pylist(), words)
                 for o in (0, 1):
                     at, n = np.unique(cell(hashes, o), return_counts=True)
@@ -109,7 +109,7 @@ def postings(docs: DataFrame, ranks, words: int, percent: int) -> DataFrame:
     def run(batches):
         table_ = ranks.value
         for batch in batches:
-            for part in slices(batch, 1, 1 << 22):
+            for part in slices(batch, 1, 1 << 21):
                 hashes, of = shingle_sets(part.column(1).to_pylist(), words)
                 keys, sizes = keys_of(hashes, of, part.num_rows)
                 starts = np.concatenate(([0], np.cumsum(sizes)))
