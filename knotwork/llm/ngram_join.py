@@ -23,6 +23,8 @@ from knotwork.llm.fingerprints import mixed, shingle_hashes, word_hashes
 
 #: Cells of each of the two sketches, and pieces in which they are summed.
 CELLS, PIECES = 1 << 23, 256
+#: Bits of the filter that keeps most documents without a partner out of the shuffle of texts.
+FILTER = 1 << 26
 #: Classes in a block.
 BLOCK = 512
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -200,11 +202,29 @@ def _link_groups(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.groupBy("group").applyInArrow(run, "u long, v long")
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Those docs whose id is in `wanted`, and a few others: by one bit for each hash of an id, FILTER bits whatever the corpus. The join that follows decides."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
+    words = wanted.select(F.floor(at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(FILTER // 32, np.uint32)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        bits = shared.value
+        for batch in batches:
+            h = batch.column(2).to_numpy()
+            yield batch.filter(pa.array((bits[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool))).select([0, 1])
+
+    return docs.select("doc_id", "text", at.alias("h")).mapInArrow(run, "doc_id long, text string")
+
+
 def links(docs: DataFrame, placed: DataFrame, words: int, percent: int) -> DataFrame:
     """Links (u, v) that connect what is similar, by document ids. placed: (doc_id, n, cell, size)."""
     order = W.partitionBy("cell").orderBy("n", "doc_id")
     numbered = placed.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("long"))
-    texts = stored(docs.join(numbered.select("doc_id", "cell", "size", "block"), "doc_id").dropDuplicates(["doc_id"]), "members")
+    numbered = stored(numbered, "numbered")
+    texts = stored(_likely(docs, numbered).join(numbered.select("doc_id", "cell", "size", "block"), "doc_id").dropDuplicates(["doc_id"]), "members")
     group = lambda *c: F.xxhash64(*c).alias("group")
 
     # Each block beside the first one of its cell; in a cell of one block that is all.
