@@ -134,6 +134,16 @@ class Channel:
         """The text in lower case with its obfuscated stretches restored."""
         return _STRETCH.sub(lambda m: self.decode(m.group()), text).lower()
 
+    def token(self, token: str) -> tuple[str, ...]:
+        """The words of what stands between white space."""
+        # Most tokens are letters with a mark at their end, and have one reading.
+        core = token.rstrip(".,;:!?\"')&%").lstrip("\"'(")
+        if core[-3:] in ("$$$", "***", "###"):
+            core = core[:-3]
+        if core.isalpha() and not _TRIPLE.search(low := core.lower()):
+            return (low,)
+        return tuple(_WORD.findall(self.restore(token)))
+
     def words(self, text: str) -> Counter:
         """How often the restored text has each word. Stretches lie within what stands between white space, or are single characters with blanks between; so each distinct token is restored once."""
         out: Counter = Counter()
@@ -141,11 +151,7 @@ class Channel:
         for token, n in Counter(text.split()).items():
             got = self.tokens.get(token)
             if got is None:
-                # Most tokens are letters with a mark at their end, and have one reading.
-                core = token.rstrip(".,;:!?\"')&%").lstrip("\"'(")
-                if core[-3:] in ("$$$", "***", "###"):
-                    core = core[:-3]
-                got = (core.lower(),) if core.isalpha() and not _TRIPLE.search(core.lower()) else tuple(_WORD.findall(self.restore(token)))
+                got = self.token(token)
                 if len(self.tokens) > 300_000:
                     self.tokens.clear()
                 self.tokens[token] = got
@@ -154,28 +160,55 @@ class Channel:
             if len(token) == 1:
                 single += n
         if single > 2:
-            for m in _SPACED.finditer(text):
-                out.update(_WORD.findall(self.decode(m.group())))
+            out.update(self.spaced(text))
         return out
 
+    def spaced(self, text: str) -> list[str]:
+        """The words of single characters with blanks between."""
+        return [w for m in _SPACED.finditer(text) for w in _WORD.findall(self.decode(m.group()))]
+
+
+#: Letters up to here count by themselves; all later ones as one, all other characters as a blank.
+_LATIN = 0x250
+
+
+@functools.cache
+def _letters() -> np.ndarray:
+    kinds = np.full(0x110000, ord(" "), np.uint32)
+    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    kinds[alpha] = _LATIN
+    kinds[:_LATIN][alpha[:_LATIN]] = np.flatnonzero(alpha[:_LATIN])
+    return kinds
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all character trigrams of the words of a text, each word as if between blanks, and their counts."""
+    at = np.concatenate(([32, 32], _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], [32])).astype(np.uint32)
+    last, middle, first = at[2:], at[1:-1], at[:-2]
+    first = np.where(middle == 32, 32, first)
+    there = (last != 32) | (middle != 32)
+    size = np.uint32(_LATIN + 1)
+    return np.unique(((first * size + middle) * size + last)[there], return_counts=True)
+
+
+def _spelled(code: int) -> str:
+    c = lambda x: "\ufffd" if x == _LATIN else chr(x)
+    size = _LATIN + 1
+    return c(code // size // size) + c(code // size % size) + c(code % size)
+
 
 def letter_counts(docs: DataFrame) -> Channel:
     """Character trigrams of all words of all documents, words between blanks. Letters beyond the Latin blocks count as one."""
 
     def run(batches):
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch, 0):
-                words: Counter = Counter()
-                for t in part.column(0).to_pylist():
-                    words.update(t.lower().split())
-                for token, n in words.items():
-                    for w in _WORD.findall(token):
-                        w = "  " + (w if w.isascii() else "".join(c if c < "ɐ" else "�" for c in w)) + " "
-                        for i in range(len(w) - 2):
-                            found[w[i : i + 3]] += n
+            for part in slices(batch, 0, 1 << 21):
+                codes, times = trigrams(" ".join(part.column(0).to_pylist()))
+                for c, n in zip(codes.tolist(), times.tolist()):
+                    found[c] = found.get(c, 0) + n
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["t", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_spelled, found), pa.string()), pa.array(found.values(), pa.int64())], names=["t", "n"])
 
     counts = docs.select(whole().alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
     # Bounded by the alphabet: the most frequent trigrams; ties by the trigram.
@@ -204,6 +237,7 @@ class Model:
     beta: np.ndarray
     prior: float
     memo: dict[str, float] = field(default_factory=dict)
+    seen: dict[str, tuple[int, tuple]] = field(default_factory=dict)
 
     def word(self, w: str) -> float:
         got = self.memo.get(w)
@@ -215,12 +249,39 @@ class Model:
 
     def evidence(self, words: Counter) -> list[float]:
         """The constant, how many distinct toxic words, the strongest, the strongest three, all, their share of the words, their times, the length."""
-        found = [(x, n) for w, n in words.items() if (x := self.word(w)) > EVIDENCE]
-        strong, times, n = sorted((x for x, _ in found), reverse=True), sum(n for _, n in found), words.total()
+        return self._evidence({w: (x, n) for w, n in words.items() if (x := self.word(w)) > EVIDENCE}, words.total())
+
+    @staticmethod
+    def _evidence(found: dict[str, tuple[float, int]], n: int) -> list[float]:
+        strong, times = sorted((x for x, _ in found.values()), reverse=True), sum(k for _, k in found.values())
         return [1.0, math.log1p(len(strong)), (strong[0] if strong else 0.0), sum(strong[:3]), math.log1p(sum(strong)), math.log1p(100 * times / max(1, n)), math.log1p(times), math.log1p(n)]
 
+    def scan(self, text: str) -> list[float]:
+        """evidence(channel.words(text)): what a token has to say is worked out once, and is nothing for most."""
+        found: dict[str, tuple[float, int]] = {}
+        total = single = 0
+        for token, n in Counter(text.split()).items():
+            got = self.seen.get(token)
+            if got is None:
+                words = self.channel.token(token)
+                got = (len(words), tuple((w, x) for w in words if (x := self.word(w)) > EVIDENCE))
+                if len(self.seen) > 300_000:
+                    self.seen.clear()
+                self.seen[token] = got
+            total += got[0] * n
+            for w, x in got[1]:
+                found[w] = (x, found.get(w, (x, 0))[1] + n)
+            if len(token) == 1:
+                single += n
+        if single > 2:
+            for w in self.channel.spaced(text):
+                total += 1
+                if (x := self.word(w)) > EVIDENCE:
+                    found[w] = (x, found.get(w, (x, 0))[1] + 1)
+        return self._evidence(found, total)
+
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.evidence(self.channel.words(t)) for t in texts]).reshape(len(texts), -1)
+        x = np.array([self.scan(t) for t in texts]).reshape(len(texts), -1)
         return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30))) if len(self.beta) and len(texts) else np.full(len(texts), self.prior)
 
 
