@@ -9,8 +9,8 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-#: The linkage chain's headline stages. Each is written out in full to a sink that keeps nothing.
-HEADLINE = ["er_records", "name_core", "addr_tokens", "block_union", "rare_token_block", "tfidf_name", "retrieve_topk", "query_context", "token_set_features", "number_features", "direct_features", "fuzzy_features", "top3", "expected_f05", "macro_f05", "write_grouped"]
+#: The linkage chain's headline stages; the edit-based features (Python, quadratic in the text for partial ratios) are too slow to be among them yet. Each is written out in full to a sink that keeps nothing.
+HEADLINE = ["er_records", "name_core", "addr_tokens", "block_union", "rare_token_block", "tfidf_name", "retrieve_topk", "query_context", "token_set_features", "number_features", "direct_features", "top3", "expected_f05", "macro_f05", "write_grouped"]
 
 
 def main() -> None:
