@@ -1,10 +1,11 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. A page that marks its article (article, main, or a class that says so) is done: its text is the lines inside. In all other pages what is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted. Two pages that share almost all their text are copies of each other, and nothing is deleted.
+A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. What is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted, but for those inside the page's strongest mark of an article (article, main, or a class that says so). Two pages that share almost all their text are copies of each other, and nothing is deleted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 from urllib.parse import urlsplit
@@ -129,14 +130,14 @@ class _Lines(HTMLParser):
             self.parts.append(data)
 
 
-def page_lines(html: str) -> tuple[list[str], list[str]]:
-    """The lines inside the article, and the others that may be text. A page with a stronger mark has no use for weaker ones: article, then main, then a class."""
+def page_lines(html: str) -> list[tuple[bool, str]]:
+    """All lines that may be text, and whether each is in the page's strongest mark: article, then main, then a class."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._end_line()
     rank = max((r for r, _ in parser.lines), default=0)
-    return [t for r, t in parser.lines if rank and r == rank], [t for r, t in parser.lines if r < (rank or 1)]
+    return [(r == rank > 0, t) for r, t in parser.lines]
 
 
 def common(a: list[str], b: list[str]) -> list[int]:
@@ -174,14 +175,13 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return sorted(found)
 
 
-def differenced(lines: list[str], other: list[str] | None) -> list[str]:
-    """Lines less those they share with the other page, unless the pages are copies."""
-    if not other or not lines:
-        return lines
-    shared = set(common(lines, other))
-    if sum(len(lines[i]) for i in shared) >= COPY * sum(map(len, lines)):
-        return lines
-    return [x for i, x in enumerate(lines) if i not in shared]
+def shared_places(lines: list[str], other: list[str]) -> list[int]:
+    """The places of the lines that the other page has as well, unless the pages are copies."""
+    shared = common(lines, other)
+    size = lambda x: int(x[16:])
+    if sum(size(lines[i]) for i in shared) >= COPY * sum(map(size, lines)):
+        return []
+    return shared
 
 
 def url_key(url: str | None) -> tuple[str, str]:
@@ -204,46 +204,69 @@ def nearer(path: str, before: str, after: str) -> bool:
     return start(before) >= start(after)
 
 
-_PARSED = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("path", pa.string()), ("main", pa.string()), ("rest", pa.string())])
-_OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+_SIGNS = pa.schema([("host", pa.string()), ("path", pa.string()), ("page", pa.string()), ("signs", pa.string())])
+_GONE = pa.schema([("host", pa.string()), ("page", pa.string()), ("gone", pa.list_(pa.int32()))])
+_LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("page", pa.string()), ("lines", pa.list_(pa.string()))])
 
 
-def _texts(befores: list[dict | None], rows: list[dict], afters: list[dict | None]) -> list[dict]:
-    """The texts of those rows whose page marks no article."""
+def sign(protected: bool, line: str) -> str:
+    """What stands for a line where pages are compared: its mark, then a hash of 64 bits and its length."""
+    return f"{'+' if protected else '-'}{hashlib.blake2b(line.encode('utf-8', 'replace'), digest_size=8).hexdigest()}{len(line)}"
+
+
+def _gone(befores: list[dict | None], rows: list[dict], afters: list[dict | None]) -> list[dict]:
+    """The places of the lines to delete, of those pages that have any."""
     out = []
     for a, b, c in zip(befores, rows, afters):
-        if b["marked"]:
-            continue
         a, c = (x if x and x["host"] == b["host"] else None for x in (a, c))
         other = a if a and (not c or nearer(b["path"], a["path"], c["path"])) else c
-        # The neighbour's own article is no boilerplate of the site; only what stands around it counts.
-        text = "\n".join(differenced(b["rest"].split("\n"), other["rest"].split("\n") if other else None)) if b["rest"] else ""
-        out.append({"page_id": b["page_id"], "url": b["url"], "text": text, "n_chars": len(text)})
+        if not other or "-" not in b["signs"]:
+            continue
+        signs = b["signs"].split("\n")
+        lines_of = lambda x: [s[1:] for s in x["signs"].split("\n") if s]
+        if gone := [i for i in shared_places(lines_of(b), lines_of(other)) if signs[i][0] == "-"]:
+            out.append({"host": b["host"], "page": b["page"], "gone": gone})
     return out
 
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
-    Null html is empty and has the empty text; a null or odd url is a host of its own; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. Marked articles don't move: only the lines around them, and those of pages without a mark, are dealt by ranges of host and path, so one large host spreads over many tasks."""
+    Null html is empty and has the empty text; pages with a null or odd url are one host of their own; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. Only hashes of lines are dealt, by ranges of host and path, so one large host spreads over many tasks; equal pages of a host are dealt once. The pages are read again for the text."""
 
-    def run(batches):
+    def read(batches):
         for batch in batches:
             for part in slices(batch, 2, 1 << 22):
-                rows = []
                 for page, url, html in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    main, rest = page_lines(html)
-                    host, path = url_key(url)
-                    rows.append({"page_id": page, "url": url, "host": host, "path": path, "main": "\n".join(main), "rest": "\n".join(rest)})
-                yield pa.RecordBatch.from_pylist(rows, schema=_PARSED)
+                    lines = page_lines(html)
+                    signs = "\n".join(sign(*x) for x in lines)
+                    yield page, url, url_key(url), hashlib.blake2b(signs.encode(), digest_size=16).hexdigest(), signs, lines
+                yield None
+
+    def batched(rows, schema):
+        held = []
+        for row in rows:
+            if row is not None:
+                held.append(row)
+            elif held:
+                yield pa.RecordBatch.from_pylist(held, schema=schema)
+                held = []
+
+    def signs_of(batches):
+        yield from batched((r and {"host": r[2][0], "path": r[2][1], "page": r[3], "signs": r[4]} for r in read(batches)), _SIGNS)
+
+    def lines_of(batches):
+        yield from batched((r and {"page_id": r[0], "url": r[1], "host": r[2][0], "page": r[3], "lines": [t for _, t in r[5]]} for r in read(batches)), _LINES)
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    parsed = stored(source.mapInArrow(run, "page_id long, url string, host string, path string, main string, rest string"), "parsed")
-    marked = F.col("main") != ""
-    whole = parsed.where(marked).select("page_id", "url", F.col("main").alias("text"), F.length("main").cast("long").alias("n_chars"))
-    order = [F.col("host").asc(), F.col("path").asc(), F.col("page_id").asc_nulls_first(), F.col("url").asc_nulls_first(), F.col("marked").asc(), F.col("rest").asc()]
-    around = parsed.select("page_id", "url", "host", "path", "rest", marked.alias("marked"))
-    return whole.unionByName(with_neighbours(around, order, "rest", _texts, _OUT, "page_id long, url string, text string, n_chars long", dealt=3))
+    signs = source.mapInArrow(signs_of, "host string, path string, page string, signs string")
+    distinct = stored(signs.groupBy("host", "page").agg(F.min("path").alias("path"), F.any_value("signs").alias("signs")), "signs")
+    order = [F.col("host").asc(), F.col("path").asc(), F.col("page").asc()]
+    gone = with_neighbours(distinct, order, "signs", _gone, _GONE, "host string, page string, gone array<int>")
+    lines = source.mapInArrow(lines_of, "page_id long, url string, host string, page string, lines array<string>")
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
+    texts = lines.join(gone, ["host", "page"], "left").select("page_id", "url", F.array_join(kept, "\n").alias("text"))
+    return texts.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -407,6 +407,17 @@ def test_page_text(spark):
     assert page_diff.extracted(frame.limit(0)).count() == 0
 
 
+def texts_of(spark, pages):
+    frame = spark.createDataFrame([(i, f"https://c.org/n/{i}", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in page_diff.extracted(frame).orderBy("page_id").collect()]
+
+
+def test_marked_pages_are_differenced(spark):
+    body = lambda i, story: f"<div>Our town</div><div>By writer {i}</div><article><p>{story}</p><p>All stories end so</p></article><div>Imprint</div>"
+    got = texts_of(spark, [body(i, f"A long story of number {i} and what became of it") for i in range(6)])
+    assert got == [f"By writer {i}\nA long story of number {i} and what became of it\nAll stories end so" for i in range(6)]
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------------
 
 
