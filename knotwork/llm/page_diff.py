@@ -33,12 +33,20 @@ NOISE_OUTSIDE = NOISE | {"header", "heading", "head", "top", "bottom", "site", "
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status toolbar".split())
 #: One of these as a whole class or id marks the article where no article or main element does.
 ARTICLE = frozenset("article post content entry story article-body article-content post-content post-body entry-content main-content story-body page-content body-content content-body main articlebody".split())
+#: In the name of an article these say that a noise word is about it: has-sidebar, comments-open.
+ABOUT = frozenset("has have with without no not is open closed format category tag".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _CLOSES_P = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "caption", "html", "body"}
 #: Pages that share this part of the text are copies.
 COPY = 0.9
 
 
+def _noise(name: str) -> bool:
+    """Whether an article's class or id names noise, and not that the article has some or none."""
+    words = {w.lower() for w in _WORDS.findall(name)}
+    return bool(words & NOISE) and not words & ABOUT
+
+
 class _Lines(HTMLParser):
     """Collects lines as (rank of the article mark they are in, text): 3 article, 2 main, 1 a class, 0 none."""
 
@@ -100,7 +108,10 @@ class _Lines(HTMLParser):
             whole = {n.lower() for n in names.split()}
             if tag in BLOCKS and whole & ARTICLE and rank < 1:
                 rank = 1
-            elif tag not in ("article", "main") and {w.lower() for w in _WORDS.findall(names)} & (NOISE if rank else NOISE_OUTSIDE):
+            elif tag == "article":
+                if not whole & ARTICLE and any(_noise(n) for n in names.split()):
+                    return True, rank
+            elif tag != "main" and {w.lower() for w in _WORDS.findall(names)} & (NOISE if rank else NOISE_OUTSIDE):
                 return True, rank
         if tag == "article" or role == "article":
             rank = 3

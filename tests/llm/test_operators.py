@@ -418,6 +418,14 @@ def test_marked_pages_are_differenced(spark):
     assert got == [f"By writer {i}\nA long story of number {i} and what became of it\nAll stories end so" for i in range(6)]
 
 
+def test_weaker_marks_and_noise_articles(spark):
+    lead = lambda i: f"<main><h1>Title {i}</h1><p>Lead {i}</p><article class='post comments-open'><p>Story {i}</p></article></main>"
+    card = lambda i: f"<div class=content><p>The body of {i}</p><p>Read on</p></div><article class=related><p>Card {i}</p></article><article class=teaser>Short {i}</article>"
+    assert texts_of(spark, [lead(i) for i in range(3)]) == [f"Title {i}\nLead {i}\nStory {i}" for i in range(3)]
+    assert texts_of(spark, [card(i) for i in range(3)]) == [f"The body of {i}\nShort {i}" for i in range(3)]
+    assert texts_of(spark, ["<article><p>Story</p><article class=user-comment>Nice</article></article><article class='has-sidebar'>More</article>"]) == ["Story\nMore"]
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------------
 
 
