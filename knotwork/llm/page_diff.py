@@ -1,6 +1,6 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. What is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted, but for those inside the page's strongest mark of an article (article, main, or a class that says so). Two pages that share almost all their text are copies of each other, and nothing is deleted.
+A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. What is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted, but for those inside the page's strongest mark of an article (article, main, or a class that says so). Equal pages of a host are one page here. Where two pages share almost all their text, a shared line is the site's own if the other neighbour has it too.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ ARTICLE = frozenset("article post content entry story article-body article-conte
 ABOUT = frozenset("has have with without no not is open closed format category tag".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _CLOSES_P = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "caption", "html", "body"}
-#: Pages that share this part of the text are copies.
+#: Pages that share this part of the text may be versions of one page: the further neighbour decides.
 COPY = 0.9
 
 
@@ -186,12 +186,12 @@ def common(a: list[str], b: list[str]) -> list[int]:
     return sorted(found)
 
 
-def shared_places(lines: list[str], other: list[str]) -> list[int]:
-    """The places of the lines that the other page has as well, unless the pages are copies."""
+def shared_places(lines: list[str], other: list[str], further: list[str] | None) -> list[int]:
+    """The places of the lines that the nearer page has as well. Where these are almost all the text, the two may be versions of one page, so only those count that the further page has too; without one, all."""
     shared = common(lines, other)
     size = lambda x: int(x[16:])
-    if sum(size(lines[i]) for i in shared) >= COPY * sum(map(size, lines)):
-        return []
+    if further is not None and sum(size(lines[i]) for i in shared) >= COPY * sum(map(size, lines)):
+        return sorted({*shared} & {*common(lines, further)})
     return shared
 
 
@@ -230,12 +230,12 @@ def _gone(befores: list[dict | None], rows: list[dict], afters: list[dict | None
     out = []
     for a, b, c in zip(befores, rows, afters):
         a, c = (x if x and x["host"] == b["host"] else None for x in (a, c))
-        other = a if a and (not c or nearer(b["path"], a["path"], c["path"])) else c
+        other, further = (a, c) if a and (not c or nearer(b["path"], a["path"], c["path"])) else (c, a)
         if not other or "-" not in b["signs"]:
             continue
         signs = b["signs"].split("\n")
         lines_of = lambda x: [s[1:] for s in x["signs"].split("\n") if s]
-        if gone := [i for i in shared_places(lines_of(b), lines_of(other)) if signs[i][0] == "-"]:
+        if gone := [i for i in shared_places(lines_of(b), lines_of(other), further and lines_of(further)) if signs[i][0] == "-"]:
             out.append({"host": b["host"], "page": b["page"], "gone": gone})
     return out
 

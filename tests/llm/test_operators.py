@@ -426,6 +426,16 @@ def test_weaker_marks_and_noise_articles(spark):
     assert texts_of(spark, ["<article><p>Story</p><article class=user-comment>Nice</article></article><article class='has-sidebar'>More</article>"]) == ["Story\nMore"]
 
 
+def test_copies_and_boilerplate(spark):
+    site = "".join(f"<div>{k} of the town and its surroundings since 1890</div>" for k in ("News", "Sport", "Trade", "Weather", "Letters", "Culture", "Notices of death", "Jobs", "Flats", "Cars", "Imprint", "Terms"))
+    story = lambda i: f"A short story numbered {i}"
+    page = lambda x, more="": f"<body>{site}<p>{x}</p>{more}</body>"
+    assert texts_of(spark, [page(story(i)) for i in range(5)]) == [story(i) for i in range(5)]
+    assert texts_of(spark, [page(story(i // 2)) for i in range(10)]) == [story(i // 2) for i in range(10)]  # each page twice
+    long = "A long story of the harbour. " * 60
+    assert texts_of(spark, [page(f"{long}x"), page(long), page(long, "<p>As of May</p>"), page(f"{long}y")]) == [f"{long}x", long.strip(), f"{long.strip()}\nAs of May", f"{long}y"]
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------------
 
 
