@@ -1,6 +1,6 @@
 """Format-preserving pseudonyms for personal data, all in DataFrame expressions.
 
-Candidates are found by one pattern, validated by kind (check sums, ranges, the calendar), and permuted under a key within their format by a Feistel network. A value becomes a list of numbers with a modulus each (digits, letters, octets of an address, two parts of a day number); in each round one half of the list is shifted by a keyed hash of the other half. So equal values keep equal pseudonyms in all documents, different ones stay different, and whoever has the key can turn it back. What fails its validation stays as it is.
+Candidates are found by one pattern, validated by kind (check sums, ranges, the calendar), and permuted under a key within their format by a Feistel network. A value becomes a list of numbers with a modulus each (digits, letters, octets of an address, two parts of a day number); in each round one half of the list is shifted by a keyed hash of the other half. A number ends where a value of another kind starts, and a run of digits is searched for the cards in it. So equal values keep equal pseudonyms in all documents, different ones stay different, and whoever has the key can turn it back. What fails its validation stays as it is.
 
 Kinds: card numbers (Luhn; the last digit is set anew), IBANs (mod 97; check digits set anew), US social security numbers (valid areas only), telephone numbers (the country code stays), IPv4 addresses, dates from 1900 on in three notations (by their day, so one day in two notations stays one day), and the local part of e-mail addresses (letters stay letters, digits digits).
 """
@@ -21,12 +21,28 @@ DAY_HIGH, DAY_LOW, FIRST_DAY = 250, 292, "1900-01-01"
 
 # Every alternative starts at a boundary and takes a bounded number of characters, so that the search is linear in the text.
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Length of a country's IBANs; others count in one piece only.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, c in IBAN_LENGTHS.items())
+IBAN = rf"(?<![A-Za-z0-9])(?:(?:{_IBANS})|[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}})(?![A-Za-z0-9])"
 IP = r"(?<![A-Za-z0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![A-Za-z0-9]|\.[0-9])"
 DATE = r"(?<![A-Za-z0-9])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![A-Za-z0-9]|[\-/.][0-9])"
 SSN = r"(?<![A-Za-z0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9]|-[0-9])"
-PHONE = r"(?<![A-Za-z0-9])(?:\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,4}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4})(?![A-Za-z0-9]|-[0-9])"
-CARD = r"(?<![A-Za-z0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9])"
+_LOCAL = r"\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}"
+# A number goes on behind a separator only where no value of another kind starts.
+_OTHER = rf"{EMAIL}|{IP}|{DATE}|{SSN}|(?:{_LOCAL})(?![A-Za-z0-9]|-[0-9])"
+_CARD_GROUPS = r"[0-9]{4}[ \-][0-9]{4}[ \-][0-9]{4}[ \-][0-9]{1,4}(?![0-9])|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5}(?![0-9])"
+_DIGIT = rf"(?:(?:[ .\-](?=[0-9]{{2}})(?!{_OTHER}|{_CARD_GROUPS}))?[0-9])"
+# The longest number of 7 to 14 digits behind the code; behind +1 ten, if there is a number of ten.
+_CODED = "|".join([rf"[ .\-](?=[0-9]{{2}})[0-9]{_DIGIT}{{6,13}}", *(rf"[ .\-]?\([0-9]{{{k}}}\)[ .\-]?(?=[0-9]{{2}})[0-9]{_DIGIT}{{{6 - k},{13 - k}}}" for k in (1, 2, 3, 4))])
+PHONE = rf"(?<![A-Za-z0-9])(?:\+1[ .\-]?(?:\([0-9]{{3}}\)|[0-9]{{3}})[ .\-]?[0-9]{{3}}[ .\-]?[0-9]{{4}}(?![A-Za-z0-9]|-[0-9])|\+[0-9]{{1,3}}(?:{_CODED})|\+(?=[0-9]{{4}})[0-9]{_DIGIT}{{6,13}}|{_LOCAL})(?![A-Za-z0-9]|-[0-9])"
+#: A run of digits in which `pieces` looks for cards.
+CARD = rf"(?<![A-Za-z0-9])[0-9](?:(?:[ \-](?!{_OTHER}))?[0-9]){{12,400}}(?![A-Za-z0-9])"
+#: How cards are mostly written.
+CARD_SHAPE = r"^(?:[0-9]{13,19}|(?:[0-9]{4}[ \-]){3}[0-9]{1,4}|(?:[0-9]{4}[ \-]){4}[0-9]{1,3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{4,5})$"
 KINDS = {"email": EMAIL, "iban": IBAN, "ip": IP, "date": DATE, "ssn": SSN, "phone": PHONE, "card": CARD}
 ANY = "|".join(KINDS.values())
 
@@ -90,7 +106,42 @@ def card(m: Column, key: str, back: bool = False) -> Column:
         body = alnum_feistel(F.substring(d, F.lit(1), F.length(d) - 1), "card", key, back)
         return let(body, lambda b: F.concat(b, F.pmod(-luhn_sum(F.concat(b, F.lit("0"))), F.lit(10)).cast("string")))
 
-    return let(digits_of(m), lambda d: F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), filled(m, make(d))).otherwise(m))
+    return let(digits_of(m), lambda d: F.when(F.length(d).between(13, 19) & luhn_valid(d), filled(m, make(d))).otherwise(m))
+
+
+def luhn_valid(d: Column) -> Column:
+    return (luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$")
+
+
+def pieces(m: Column) -> Column:
+    """A run of digits cut into its cards and what is between; any other candidate as it is.
+
+    A card has 13 to 19 digits from one separator to another. Of those that overlap the one of a usual shape counts, then the longest, then the first."""
+    groups = F.split(m, "[ \\-]")
+    # (start, end) of each group, counted from 1, the end not in it.
+    spans = F.aggregate(groups, F.expr("cast(array() as array<struct<s:int,e:int>>)"), lambda a, g: F.concat(a, F.array(let(F.coalesce(F.get(a, F.size(a) - 1)["e"] + 1, F.lit(1)), lambda s: F.struct(s.alias("s"), (s + F.length(g)).alias("e"))))))
+
+    def windows(at: Column) -> Column:
+        row = lambda i: F.transform(F.slice(at, i + 1, F.lit(19)), lambda last: judged(F.element_at(at, i + 1)["s"], last["e"]))
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(at) - 1), row))
+
+    def judged(s: Column, e: Column) -> Column:
+        text = F.substring(m, s, e - s)
+        shaped = F.when(text.rlike(CARD_SHAPE), 0).otherwise(1)
+        digits = digits_of(text)
+        good = F.when(F.length(digits).between(13, 19), luhn_valid(digits)).otherwise(False)
+        return F.struct(shaped.alias("o"), (-F.length(digits)).alias("n"), s.alias("s"), e.alias("e"), good.alias("good"))
+
+    none = F.expr("cast(array() as array<struct<s:int,e:int>>)")
+    apart = lambda acc, w: ~F.exists(acc, lambda x: (x["s"] < w["e"]) & (w["s"] < x["e"]))
+    chosen = lambda ws: F.aggregate(F.array_sort(F.filter(ws, lambda w: w["good"])), none, lambda acc, w: F.when(apart(acc, w), F.concat(acc, F.array(F.struct(w["s"].alias("s"), w["e"].alias("e"))))).otherwise(acc))
+
+    def cut(cards: Column) -> Column:
+        ends = F.concat(F.array(F.lit(1)), F.flatten(F.transform(F.array_sort(cards), lambda x: F.array(x["s"], x["e"]))), F.array(F.length(m) + 1))
+        return let(ends, lambda p: F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.substring(m, F.element_at(p, i), F.element_at(p, i + 1) - F.element_at(p, i))))
+
+    run = m.rlike("^[0-9](?:[ \\-]?[0-9]){12,400}$")
+    return F.when(run, let(spans, lambda at: let(windows(at), lambda ws: let(chosen(ws), cut)))).otherwise(F.array(m))
 
 
 def ssn_valid(d: Column) -> Column:
@@ -183,11 +234,12 @@ def pseudonymised(df: DataFrame, text: str = "text", to: str = "text", found: st
     taken = set(df.columns) - {to}
     names = [next(n for n in (f"__{x}{'_' * i}" for i in range(99)) if n not in taken) for x in ("matches", "new")]
     likely = F.col(text).rlike("[0-9@]")
-    work = df.withColumn(names[0], F.when(likely, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    work = work.withColumn(names[1], F.when(F.size(names[0]) > 0, F.transform(names[0], lambda m: pseudonym(m, key, back))))
+    work = df.withColumn(names[0], F.when(likely, F.transform(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), pieces)))
+    work = work.withColumn(names[1], F.when(F.size(names[0]) > 0, F.transform(names[0], lambda ps: F.transform(ps, lambda m: pseudonym(m, key, back)))))
     if found:
-        work = work.withColumn(found, F.when(F.col(names[1]).isNotNull(), F.size(F.filter(F.zip_with(names[0], names[1], lambda a, b: a != b), lambda x: x))).otherwise(0).cast("long"))
-    whole = F.concat_ws("", F.zip_with(F.split(text, ANY, -1), F.concat(F.col(names[1]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
+        work = work.withColumn(found, F.when(F.col(names[1]).isNotNull(), F.size(F.filter(F.zip_with(F.flatten(names[0]), F.flatten(names[1]), lambda a, b: a != b), lambda x: x))).otherwise(0).cast("long"))
+    values = F.transform(names[1], lambda ps: F.concat_ws("", ps))
+    whole = F.concat_ws("", F.zip_with(F.split(text, ANY, -1), F.concat(values, F.array(F.lit(""))), lambda a, b: F.concat(a, b)))
     return work.withColumn(to, F.when(F.col(names[1]).isNotNull(), whole).otherwise(F.col(text))).drop(*names)
 
 

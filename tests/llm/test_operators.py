@@ -460,6 +460,21 @@ def test_pseudonyms(spark, odd):
     assert back == rows and pii.pseudonymised(odd).columns == odd.columns and pii.pseudonymised(odd.limit(0)).count() == 0
 
 
+def test_adjacent_values(spark):
+    values = {"email": "jo.7@mail3.example.com", "iban": "GB29 NWBK 6016 1331 9268 19", "iban2": "DE89370400440532013000", "ip": "190.137.223.204", "date": "1985-02-28", "ssn": "123-45-6789", "phone": "+1 (826) 555-4081", "phone2": "+49 30 1234567", "local": "974-555-3436", "card": "4111111111111111", "card2": "4111 1111 1111 1111"}
+    pairs = [(a, b) for a in values for b in values]
+    one = dict(zip(values, (r.text for r in pii.pseudonymised(spark.createDataFrame([(i, v) for i, v in enumerate(values.values())], "i int, text string")).orderBy("i").collect())))
+    assert all(one[k] != v for k, v in values.items())
+    rows = [f"{values[a]} {values[b]}" for a, b in pairs] + [f"{values['card']} 12", f"12 {values['card']}", f"{values['card2']} 05/27", f"{values['phone']} 39 cats", f"{values['phone']} 39", "+49 30 1234567 123 4567 8901", "AB12 4111 1111 1111 1111"]
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), found="n")
+    texts = [r.text for r in got.orderBy("i").collect()]
+    card, card2, phone = (one[k] for k in ("card", "card2", "phone"))
+    assert [(x, y) for x, y in zip(texts, [f"{one[a]} {one[b]}" for a, b in pairs]) if x != y] == []
+    assert texts[len(pairs) :][:5] == [f"{card} 12", f"12 {card}", f"{card2} 05/27", f"{phone} 39 cats", f"{phone} 39"] and texts[-1] == f"AB12 {card2}"
+    assert "1234567" not in texts[-2] and got.where("n <> 2").count() == 7
+    assert [r.text for r in pii.pseudonymised(got, back=True).orderBy("i").collect()] == rows
+
+
 def test_different_values_stay_different(spark):
     frame = spark.createDataFrame([(f"{i:03d}-55-{j:04d}",) for i in range(1, 40) for j in range(1, 40)], "text string")
     assert pii.pseudonymised(frame).distinct().count() == 39 * 39
