@@ -276,7 +276,9 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
         """Natural log of the probability of words with counts n (words x groups) under each group."""
         seen = np.maximum(totals, 1.0)
         back = np.where(totals > 0, DISCOUNT * kinds_in / seen, 0.5)
-        return np.log(np.maximum(n - DISCOUNT, 0.0) / seen + np.maximum(back, 1e-12) * np.exp(np.maximum(sub, -600.0))[:, None])
+        with np.errstate(divide="ignore"):  # no count, no part of the whole word
+            own = np.log(np.maximum(n - DISCOUNT, 0.0) / seen)
+        return np.logaddexp(own, np.log(np.maximum(back, 1e-12)) + sub[:, None])
 
     base_of = lambda c: np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
 
@@ -317,10 +319,14 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), group: str | Non
     # The other words: joined by the word itself, summed by the row's number.
     rare = seen.where(F.size("words") > 0).select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     others = known.where((step < least) | F.col("hash").isin(twice.tolist())) if len(twice) < 1000 else known
-    looked = rare.join(others, "word").select("row", "times", F.greatest(F.col("sub"), F.lit(-600.0)).alias("sub"), "c", *names)
+    looked = rare.join(others, "word").select("row", "times", "sub", "c", *names)
     # Most words are known to one group. For the others the lattice's part is all, and it is summed once for all of them.
     backs = [max(DISCOUNT * v / max(t, 1.0) if t > 0 else 0.5, 1e-12) for t, v in zip(totals.tolist(), kinds_in.tolist())]
-    more = [F.when(F.col(n) > 0, F.col("times") * (F.log(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / max(t, 1.0) + b * F.exp("sub")) - F.col("sub") - math.log(b))).otherwise(0.0) for n, t, b in zip(names, totals.tolist(), backs)]
+    own = lambda n, t: F.log((F.col(n) - DISCOUNT) / max(t, 1.0))
+    part = lambda b: F.col("sub") + math.log(b)
+    # The log of the sum of both parts, from the larger one.
+    summed = lambda x, y: F.greatest(x, y) + F.log1p(F.exp(-F.abs(x - y)))
+    more = [F.when(F.col(n) > 0, F.col("times") * (summed(own(n, t), part(b)) - part(b))).otherwise(0.0) for n, t, b in zip(names, totals.tolist(), backs)]
     bases = F.col("times") * F.log10((F.col("c") + 1.0) / (total + 1.0 * (distinct + 1)))
     added = looked.select("row", "times", F.when(F.col("c") > 0, F.col("times")).otherwise(0).alias("met2"), bases.alias("base2"), (F.col("times") * F.col("sub")).alias("sub2"), *(p.alias(f"s{i}") for i, p in enumerate(more)))
     added = added.groupBy("row").agg(*(F.sum(x).alias(x) for x in ("times", "met2", "base2", "sub2", *(f"s{i}" for i in range(k)))))

@@ -119,6 +119,17 @@ def test_lattice_sums_all_segmentations():
         assert lattice.logp(word) == pytest.approx(math.log(total("▁" + word.replace("▁", "▂"), first)))
 
 
+@pytest.mark.parametrize("frequent", [0, 1 << 19])
+def test_long_words_have_their_whole_log_probability(spark, frequent):
+    held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:30]
+    texts = {held[0]: "\u65e5x" * 2500, held[1]: "\u65e5x" * 5000, held[2]: "\u65e5x" * 10000}
+    rows = [(i, "the cat sat on the mat", "en", "s") for i in train] + [(train[0], "\u65e5x" * 3000, "en", "s")] + [(i, t, "en", "s") for i, t in texts.items()]
+    got = {(r.doc_id, r.n_tokens): r.score for r in lattice_lm.scored(table(spark, rows), frequent=frequent).collect()}
+    a, b, c = (got[i, 2] for i in held)
+    assert c - b == pytest.approx(2 * (b - a), rel=1e-4) and b - a < -1000 and got[train[0], 2] > -10  # a word that was seen has its own count
+
+
 @pytest.mark.parametrize("frequent", [1 << 19, 50])
 def test_base_scores(spark, docs, odd, frequent):
     rows = docs.select("doc_id", "text", "lang").unionByName(odd.select(F.col("doc_id") + 10**6, "text", "lang").toDF("doc_id", "text", "lang"))
