@@ -36,18 +36,20 @@ LEAST_SEEN, MOST_FEATURES = 4, 100_000
 STARTS = (3, 4, 5, 6, 7, 8)
 EVIDENCE = 1.5  # log ratio from which a word counts
 
-# A stretch to decode: letters with signs or digits inside or before them, a letter three times or more in a row, or single characters with one sign between each two.
 _LETTER = r"[^\W\d_]"
-_STRETCH = re.compile(
-    rf"(?<!\S)(?:\S[ ._\-*~'`]){{2,}}\S(?!\S)"
-    rf"|(?<![^\s\"'(\[])(?=[^\s]*?{_LETTER})(?:[0-9@$!|+(€£]{{1,3}}(?={_LETTER})|{_LETTER})+(?:[0-9@$!|+(€£*#._\-~'`^]{{1,2}}{_LETTER}+)+(?:[0-9@$!|]{{1,2}}(?!\S))?"
-    rf"|(?<![^\s\"'(\[])[0-9@$!|+(€£]{{1,2}}{_LETTER}{{2,}}"
-    rf"|\w*({_LETTER})\1\1\w*"
-)
+# What may be one written word: letters, and signs that may be letters or stand between them, in any place and number.
+_STRETCH = re.compile(rf"(?:{_LETTER}|[{re.escape(''.join({*LEET, *BETWEEN} - {' '}))}])+")
 _WORD = re.compile(rf"{_LETTER}+")
-_TRIPLE = re.compile(r"(.)\1\1")
-#: Single characters with a blank between each two.
-_SPACED = re.compile(r"(?<!\S)\S (?:\S )+\S(?!\S)")
+_DOUBLE = re.compile(r"(.)\1")
+#: Single characters with white space between each two.
+_SPACED = re.compile(r"(?<!\S)\S\s+(?:\S\s+)+\S(?!\S)")
+#: At a word's end these are most often no letter.
+_MARKS = frozenset("!*")
+
+
+def _noisy(stretch: str) -> bool:
+    """Whether a stretch has a choice: letters with signs, or a letter twice in a row."""
+    return _DOUBLE.search(stretch.lower()) is not None if stretch.isalpha() else _WORD.search(stretch) is not None
 
 
 @dataclass
@@ -114,7 +116,7 @@ class Channel:
                     moves.append(("", 0.0 if spaced else COST_DROP))
                     moves.append((" ", COST_LEET))
                 if not moves or not inside:
-                    moves.append((" ", COST_SIGN if moves else 0.0))
+                    moves.append((" ", COST_SIGN if moves and not (i and c in _MARKS) else 0.0))
             after: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, chain) in states.items():
                 for x, cost in moves:
@@ -132,7 +134,8 @@ class Channel:
 
     def restore(self, text: str) -> str:
         """The text in lower case with its obfuscated stretches restored."""
-        return _STRETCH.sub(lambda m: self.decode(m.group()), text).lower()
+        text = _SPACED.sub(lambda m: self.decode(" ".join(m.group().split())), text)
+        return _STRETCH.sub(lambda m: self.decode(m.group()) if _noisy(m.group()) else m.group(), text).lower()
 
     def token(self, token: str) -> tuple[str, ...]:
         """The words of what stands between white space."""
@@ -140,7 +143,7 @@ class Channel:
         core = token.rstrip(".,;:!?\"')&%").lstrip("\"'(")
         if core[-3:] in ("$$$", "***", "###"):
             core = core[:-3]
-        if core.isalpha() and not _TRIPLE.search(low := core.lower()):
+        if core.isalpha() and not _DOUBLE.search(low := core.lower()):
             return (low,)
         return tuple(_WORD.findall(self.restore(token)))
 
@@ -165,7 +168,7 @@ class Channel:
 
     def spaced(self, text: str) -> list[str]:
         """The words of single characters with blanks between."""
-        return [w for m in _SPACED.finditer(text) for w in _WORD.findall(self.decode(m.group()))]
+        return [w for m in _SPACED.finditer(text) for w in _WORD.findall(self.decode(" ".join(m.group().split())))]
 
 
 #: Letters up to here count by themselves; all later ones as one, all other characters as a blank.

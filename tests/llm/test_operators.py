@@ -355,6 +355,16 @@ def test_deobfuscation(written):
     assert channel.words(f"the {written} is")["idiot"] == 1
 
 
+@pytest.mark.parametrize("written, word", [("idio7", "idiot"), ("idi07", "idiot"), ("tras#", "trash"), ("scum5", "scums"), ("l053r", "loser"), ("l0$3r", "loser"), ("50(um", "socum"), ("1053r", "loser"), ("w0rthl3$$", "worthless"), ("d15gu571ng", "disgusting"), ("stuupid", "stupid"), ("mooronn", "moron"), ("i  d\ti o\nt", "idiot"), ("idiot!", "idiot")])
+def test_deobfuscation_in_any_place(written, word):
+    tri = Counter()
+    for w, n in {w: 60 for w in ("idiot", "trash", "scums", "loser", "socum", "worthless", "disgusting", "stupid", "moron")}.items() | {("the", 500), ("is", 300), ("at", 100)}:
+        for i in range(len(w) + 1):
+            tri[f"  {w} "[i : i + 3]] += n
+    channel = toxicity.Channel(dict(tri))
+    assert channel.words(f"the {written} is")[word] == 1 and channel.restore(f"the {written} is").split()[1] == word
+
+
 def labelled(spark, bad, n=600):
     rng = random.Random(8)
     rows, labels = [], []
