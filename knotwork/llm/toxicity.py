@@ -28,6 +28,8 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 BETWEEN = frozenset(" .-_*~'`,^")
 #: Natural logarithms: of reading a sign as another, of dropping a sign between letters, of dropping one of equal letters, of keeping a sign that is no letter.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SIGN = -1.5, -0.7, -0.7, -6.0
+#: Trigrams that are kept one by one.
+MOST_TRIGRAMS = 100_000
 #: The fit uses this many labelled rows at most, by a hash of the id; all rows are scored.
 MOST_LABELS = 60_000
 #: A word's start must be in so many toxic texts to count; so many of them are weighed at most, the most frequent ones.
@@ -68,13 +70,24 @@ class Channel:
             self.starts[t[:2]] += n
             self.pairs[t[1:]] += n
             self.singles[t[2]] += n
+        self._sum()
+        self.seen: dict[str, float] = {}
+        self.memo: dict[str, str] = {}
+        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def _sum(self) -> None:
         self.befores: Counter = Counter()
         for t, n in self.pairs.items():
             self.befores[t[0]] += n
         self.total = sum(self.singles.values())
-        self.seen: dict[str, float] = {}
-        self.memo: dict[str, str] = {}
-        self.tokens: dict[str, tuple[str, ...]] = {}
+
+    def counted(self, starts: dict[str, int], pairs: dict[str, int]) -> Channel:
+        """The same with exact counts of what stands below the trigrams."""
+        self.starts, self.pairs, self.singles = Counter(starts), Counter(pairs), Counter()
+        for t, n in pairs.items():
+            self.singles[t[1]] += n
+        self._sum()
+        return self
 
     def logp(self, context: str, c: str) -> float:
         key = context + c
@@ -213,9 +226,10 @@ def letter_counts(docs: DataFrame) -> Channel:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(map(_spelled, found), pa.string()), pa.array(found.values(), pa.int64())], names=["t", "n"])
 
-    counts = docs.select(whole().alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n"))
-    # Bounded by the alphabet: the most frequent trigrams; ties by the trigram.
-    return Channel({r["t"]: r["n"] for r in counts.orderBy(F.desc("n"), "t").limit(100_000).collect()})
+    counts = stored(docs.select(whole().alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")), "letters")
+    # The most frequent trigrams; ties by the trigram. Pairs are counted from all of them, and bounded by the square of the alphabet.
+    pairs = lambda at: {r["p"]: r["n"] for r in counts.groupBy(F.substring("t", at, 2).alias("p")).agg(F.sum("n").alias("n")).collect()}
+    return Channel({r["t"]: r["n"] for r in counts.orderBy(F.desc("n"), "t").limit(MOST_TRIGRAMS).collect()}).counted(pairs(1), pairs(2))
 
 
 @functools.lru_cache(maxsize=200_000)

@@ -365,6 +365,15 @@ def test_deobfuscation_in_any_place(written, word):
     assert channel.words(f"the {written} is")[word] == 1 and channel.restore(f"the {written} is").split()[1] == word
 
 
+def test_rare_trigrams_keep_their_mass(spark, monkeypatch):
+    frame = table(spark, [(1, "the idiot is a zebra", "en", "s"), (2, "the cat", "en", "s")])
+    every = toxicity.letter_counts(frame)
+    monkeypatch.setattr(toxicity, "MOST_TRIGRAMS", 3)
+    few = toxicity.letter_counts(frame)
+    assert len(few.trigrams) == 3 and (few.pairs, few.singles, few.starts, few.befores, few.total) == (every.pairs, every.singles, every.starts, every.befores, every.total)
+    assert every.total == sum(every.trigrams.values()) and every.starts["  "] == 7
+
+
 def labelled(spark, bad, n=600):
     rng = random.Random(8)
     rows, labels = [], []
