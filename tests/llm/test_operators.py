@@ -101,9 +101,8 @@ def test_components(spark):
 # ---- lattice scores ---------------------------------------------------------------------------------------------------
 
 
-def test_lattice_sums_all_segmentations():
-    pieces, kinds = lattice_lm.usable(lattice_lm.default_vocabulary())
-    lattice = lattice_lm.Lattice(pieces, kinds, np.zeros(len(pieces)), 0)
+def all_segmentations(lattice, pieces, kinds, word):
+    """The probability of a word as the plain sum over its segmentations."""
     first = {p: lattice.scores[p] for p, k in zip(pieces, kinds) if k == 1}
     later = {p: lattice.scores[p] for p, k in zip(pieces, kinds) if k == 2}
 
@@ -115,8 +114,45 @@ def test_lattice_sums_all_segmentations():
             out += math.exp(sum(lattice.byte[b] for b in s[0].encode())) * total(s[1:], later)
         return out
 
-    for word in ("the", "hereing", "zqx", "日a", "▁", ""):
-        assert lattice.logp(word) == pytest.approx(math.log(total("▁" + word.replace("▁", "▂"), first)))
+    return total("▁" + word.replace("▁", "▂"), first)
+
+
+def test_lattice_sums_all_segmentations():
+    pieces, kinds = lattice_lm.usable(lattice_lm.default_vocabulary())
+    rng = np.random.default_rng(4)
+    lattice = lattice_lm.Lattice(pieces, kinds, np.where(kinds > 0, rng.random(len(kinds)) * 50, 0.0), 1000)
+    listed = ["the", "hereing", "zqx", "日a", "▁", "", "é", "\U0001f600b", "x" * 9]
+    want = [math.log(all_segmentations(lattice, pieces, kinds, w)) for w in listed]
+    assert [lattice.logp(w) for w in listed] == pytest.approx(want)
+    long = "ab日" * 30  # one by one; the others as arrays
+    got, used = lattice.logps([*listed, long], np.arange(1.0, len(listed) + 2))
+    assert got.tolist() == pytest.approx([*want, lattice.logp(long)])
+    one = {}
+    for w, n in zip([*listed, long], range(1, 99)):
+        lattice.logp(w, one, float(n))
+    assert used == pytest.approx(np.array([one.get(i, 0.0) for i in range(len(used))]))
+    # Each word has one first piece.
+    assert used[kinds == 1].sum() == pytest.approx(sum(range(1, len(listed) + 2)))
+
+
+@pytest.mark.parametrize("frequent", [0, 1 << 19])
+def test_scores_sum_all_segmentations(spark, frequent):
+    rows = [(i, t, "en", "s") for i, t in enumerate(["the cat sat", "A cat  ran", "zq the日", None, "", "the the the", "sat ran", "unseen cat"])]
+    got = {r.doc_id: r.score for r in lattice_lm.scored(table(spark, rows), frequent=frequent).collect()}
+    train = [w.decode() for i, t, *_ in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in words(t)]
+    n_texts = sum(zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in rows)
+    pieces, kinds = lattice_lm.usable(lattice_lm.default_vocabulary())
+    own = Counter(i for w in train for i in lattice_lm.vocabulary(lattice_lm.default_vocabulary()).encode(w))
+    lattice = lattice_lm.Lattice(pieces, kinds, np.array([own[i] if k else 0.0 for i, k in enumerate(kinds)]), len(train))
+    for _ in range(lattice_lm.ROUNDS):
+        used = {}
+        for w in train:
+            lattice.logp(w, used)
+        lattice = lattice_lm.Lattice(pieces, kinds, np.array([used.get(i, 0.0) for i in range(len(kinds))]), len(train))
+    end = n_texts / (len(train) + n_texts)
+    for i, t, *_ in rows:
+        want = math.log10(end) + sum(math.log10(1 - end) + math.log10(all_segmentations(lattice, pieces, kinds, w.decode())) for w in words(t))
+        assert got[i] == pytest.approx(want)
 
 
 @pytest.mark.parametrize("frequent", [0, 1 << 19])
@@ -124,10 +160,10 @@ def test_long_words_have_their_whole_log_probability(spark, frequent):
     held = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 == 2][:3]
     train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 != 2][:30]
     texts = {held[0]: "\u65e5x" * 2500, held[1]: "\u65e5x" * 5000, held[2]: "\u65e5x" * 10000}
-    rows = [(i, "the cat sat on the mat", "en", "s") for i in train] + [(train[0], "\u65e5x" * 3000, "en", "s")] + [(i, t, "en", "s") for i, t in texts.items()]
-    got = {(r.doc_id, r.n_tokens): r.score for r in lattice_lm.scored(table(spark, rows), frequent=frequent).collect()}
-    a, b, c = (got[i, 2] for i in held)
-    assert c - b == pytest.approx(2 * (b - a), rel=1e-4) and b - a < -1000 and got[train[0], 2] > -10  # a word that was seen has its own count
+    rows = [(i, "the cat sat on the mat", "en", "s") for i in train] + [(i, t, "en", "s") for i, t in texts.items()]
+    got = {r.doc_id: r.score for r in lattice_lm.scored(table(spark, rows), frequent=frequent).collect()}
+    a, b, c = (got[i] for i in held)
+    assert c - b == pytest.approx(2 * (b - a), rel=1e-6) and b - a < -1000
 
 
 @pytest.mark.parametrize("frequent", [1 << 19, 50])
