@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import stored
+from knotwork.llm.common import dropped, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,6 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = stored(large, "large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = stored(small.distinct(), "small")
+        before_, now = now, stored(small.distinct(), "small")
+        dropped(before_, large)
     labels = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return labels.unionByName(labels.select(F.col("label").alias("node"), "label").distinct())
