@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from knotwork.llm.common import table, whole
+from knotwork.llm.common import refuse, table, whole
 
 #: Texts longer than this many characters are split before they reach the library.
 BLOCK = 1 << 16
@@ -116,7 +116,8 @@ def encode(df: DataFrame, text: str = "text", to: str = "ids", path: str | None
 
 
 def decode(df: DataFrame, ids: str = "ids", to: str = "bytes", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Adds `to`, the raw bytes that the ids stand for; null ids are no ids."""
+    """Adds `to`, the raw bytes that the ids stand for; null ids are no ids. A column of that name must not be there."""
+    refuse(df, to)
     path, pattern = path or default_ranks(), _pattern(pattern)
 
     def make(col):

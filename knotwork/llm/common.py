@@ -36,6 +36,19 @@ def remainder(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores behind it until no column of df has it."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """An error where a column of such a name is there already."""
+    if there := [n for n in names if n.lower() in {c.lower() for c in df.columns}]:
+        raise ValueError(f"there is a column {there[0]} already")
+
+
 def unit_hash(*columns: Column, seed: int) -> Column:
     """A seeded number in [0, 1) that depends on the columns' values only."""
     return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 52)).cast("double") / float(1 << 52)

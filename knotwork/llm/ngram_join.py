@@ -29,7 +29,7 @@ CELLS, PIECES = 1 << 22, 128
 #: Bits of the filter that keeps most texts without a partner out of the shuffle of texts.
 FILTER = 1 << 26
 #: Classes in a block; each UNIT shingles of a class, begun ones too, count for one.
-BLOCK, UNIT = 512, 512
+BLOCK, UNIT = 256, 512
 #: Prefix shingles that are sent in one packet, about, and bytes of text for each bucket that receives them.
 SENT, BUCKET_BYTES = 1 << 21, 1 << 24
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))

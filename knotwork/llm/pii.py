@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from knotwork.llm.common import table
 
-KEY = "change-this-key"
+#: The session's setting that holds the key. Without it a fixed text is the key, which keeps values linked but is no secret.
+KEY_SETTING, NO_KEY = "spark.knotwork.pseudonym.key", "no secret"
 ROUNDS = 10
 #: Days from 1900-01-01 that are permuted: DAY_HIGH * DAY_LOW of them.
 DAY_HIGH, DAY_LOW, FIRST_DAY = 250, 292, "1900-01-01"
@@ -227,7 +228,11 @@ def pseudonym(m: Column, key: str, back: bool = False) -> Column:
     return out
 
 
-def pseudonymised(df: DataFrame, text: str = "text", to: str = "text", found: str | None = None, key: str = KEY, back: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or NO_KEY
+
+
+def pseudonymised(df: DataFrame, key: str, text: str = "text", to: str = "text", found: str | None = None, back: bool = False) -> DataFrame:
     """df with `to`, its text with all valid personal values under pseudonyms, and with `found`, how many were replaced, if named.
 
     Null text stays null and counts none. Whole texts, in one pass without a shuffle; texts without a digit or @ are only looked at. Repeated values have one pseudonym everywhere. Other columns stay as they are."""
@@ -245,4 +250,4 @@ def pseudonymised(df: DataFrame, text: str = "text", to: str = "text", found: st
 
 def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymised(docs, found="n_replaced").select("doc_id", "n_replaced", F.length("text").cast("long").alias("n_chars"), "text")
+    return pseudonymised(docs, key_of(spark), found="n_replaced").select("doc_id", "n_replaced", F.length("text").cast("long").alias("n_chars"), "text")

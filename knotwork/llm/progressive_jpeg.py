@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import table, whole
+from knotwork.llm.common import refuse, table, whole
 
 #: Fixed by the JPEG standard: the zigzag order of a block's coefficients is the walk along its diagonals, alternately up and down.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i % 8 if (i // 8 + i % 8) % 2 == 0 else i // 8)))
@@ -502,6 +502,7 @@ def feature(rgb: np.ndarray) -> str:
 
 def with_media(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
     """df with one more binary column: the JPEG that holds the payload; null gives null."""
+    refuse(df, to)
     names = df.columns
 
     def run(batches):
@@ -515,6 +516,7 @@ def with_media(df: DataFrame, payload: str, to: str = "media") -> DataFrame:
 
 def with_tensor(df: DataFrame, media: str = "media", to: str = "rgb") -> DataFrame:
     """df with one more column, struct<height, width, channels, data>: the full-resolution RGB tensor of a progressive JPEG, data in rows. Null, and bytes that are no progressive JPEG, give null."""
+    refuse(df, to)
     names = df.columns
     kind = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("channels", pa.int32()), ("data", pa.binary())])
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import remainder, stored, table, unit_hash, whole
+from knotwork.llm.common import refuse, remainder, stored, table, unit_hash, whole
 
 SEED = 8
 #: Random features, ridge penalty, folds for calibration.
@@ -197,15 +197,28 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def with_score(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -> DataFrame:
-    """docs with one more column, the score of the whole text, from one pass over the rows."""
+def described(docs: DataFrame, to: str, text: str = "text") -> DataFrame:
+    """docs with one more column, the statistics of the whole text; null text is empty. A column of that name must not be there."""
+    refuse(docs, to)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                score = model.score(statistics_of(part.column(names.index(text)).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*names, to])
+                stats = statistics_of([t or "" for t in part.column(names.index(text)).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(STATS)).cast(pa.list_(pa.float64()))], names=[*names, to])
+
+    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{to}` array<double>")
+
+
+def with_score(docs: DataFrame, model: Model, stats: str, to: str = "score") -> DataFrame:
+    """docs with one more column, the score by the statistics in the column `stats`. A column of that name must not be there."""
+    refuse(docs, to)
+    at, names = docs.columns.index(stats), [*docs.columns, to]
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_matrix(b.column(at))), pa.float64())], names=names)
 
     return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{to}` double")
 

@@ -512,7 +512,7 @@ def luhn(s):
 def test_pseudonyms(spark, odd):
     rows = ["card 4041894974608795!! and 4041-8949-7460-8795, not 4041894974608796", "+1 (974) 555-3436 and +1 974-555-3436", "ip 97.51.17.173. bad 300.1.1.1 and 1.2.3.4.5", "born 1985-02-28, 28/02/1985, 28.02.1985, bad 2020-13-45", "ssn 123-45-6789 bad 000-12-3456", "GB29 NWBK 6016 1331 9268 19 DE89370400440532013000", "jo.7@mail3.example.com, x@y.org", None, "", "9" * 3000]
     frame = table(spark, [(i, t, "en", "s") for i, t in enumerate(rows)])
-    out = pii.pseudonymised(frame, found="n_found")
+    out = pii.pseudonymised(frame, "k", found="n_found")
     got = [r.text for r in out.orderBy("doc_id").collect()]
     a, b, c = re.findall(r"[\d-]{16,}", got[0])
     assert luhn(a) and a == b.replace("-", "") and a != "4041894974608795" and c == "4041894974608796"
@@ -522,28 +522,69 @@ def test_pseudonyms(spark, odd):
     iban = re.sub(" ", "", re.match(r"GB.{25}", got[5]).group())
     assert int("".join(str(int(x, 36)) for x in iban[4:] + iban[:4])) % 97 == 1
     assert re.fullmatch(r"[a-z]{2}\.\d@mail3\.example\.com, [a-z]@y\.org", got[6]) and got[7] is None and got[8] == "" and got[9] == rows[9]
-    back = [r.text for r in pii.pseudonymised(out, back=True).orderBy("doc_id").collect()]
-    assert back == rows and pii.pseudonymised(odd).columns == odd.columns and pii.pseudonymised(odd.limit(0)).count() == 0
+    back = [r.text for r in pii.pseudonymised(out, "k", back=True).orderBy("doc_id").collect()]
+    assert back == rows and pii.pseudonymised(odd, "k").columns == odd.columns and pii.pseudonymised(odd.limit(0), "k").count() == 0
 
 
 def test_adjacent_values(spark):
     values = {"email": "jo.7@mail3.example.com", "iban": "GB29 NWBK 6016 1331 9268 19", "iban2": "DE89370400440532013000", "ip": "190.137.223.204", "date": "1985-02-28", "ssn": "123-45-6789", "phone": "+1 (826) 555-4081", "phone2": "+49 30 1234567", "local": "974-555-3436", "card": "4111111111111111", "card2": "4111 1111 1111 1111"}
     pairs = [(a, b) for a in values for b in values]
-    one = dict(zip(values, (r.text for r in pii.pseudonymised(spark.createDataFrame([(i, v) for i, v in enumerate(values.values())], "i int, text string")).orderBy("i").collect())))
+    one = dict(zip(values, (r.text for r in pii.pseudonymised(spark.createDataFrame([(i, v) for i, v in enumerate(values.values())], "i int, text string"), "k").orderBy("i").collect())))
     assert all(one[k] != v for k, v in values.items())
     rows = [f"{values[a]} {values[b]}" for a, b in pairs] + [f"{values['card']} 12", f"12 {values['card']}", f"{values['card2']} 05/27", f"{values['phone']} 39 cats", f"{values['phone']} 39", "+49 30 1234567 123 4567 8901", "AB12 4111 1111 1111 1111"]
-    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), found="n")
+    got = pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), "k", found="n")
     texts = [r.text for r in got.orderBy("i").collect()]
     card, card2, phone = (one[k] for k in ("card", "card2", "phone"))
     assert [(x, y) for x, y in zip(texts, [f"{one[a]} {one[b]}" for a, b in pairs]) if x != y] == []
     assert texts[len(pairs) :][:5] == [f"{card} 12", f"12 {card}", f"{card2} 05/27", f"{phone} 39 cats", f"{phone} 39"] and texts[-1] == f"AB12 {card2}"
     assert "1234567" not in texts[-2] and got.where("n <> 2").count() == 7
-    assert [r.text for r in pii.pseudonymised(got, back=True).orderBy("i").collect()] == rows
+    assert [r.text for r in pii.pseudonymised(got, "k", back=True).orderBy("i").collect()] == rows
+
+
+def plain_feistel(values, moduli, kind, key):
+    half = len(values) // 2
+    for i in range(pii.ROUNDS):
+        first = i % 2 == 0
+        other = values[half:] if first else values[:half]
+        said = "|".join([key, kind, str(i), str(len(values)), ",".join(map(str, other))])
+        stream = "".join(hashlib.sha256(f"{said}#{k}".encode()).hexdigest() for k in (0, 1))
+        values = [(v + int(stream[j % 32 * 4 : j % 32 * 4 + 4], 16)) % m if (j < half) == first else v for j, (v, m) in enumerate(zip(values, moduli))]
+    return values
+
+
+def test_pseudonyms_against_a_plain_feistel(spark):
+    def card(digits, key):
+        body = "".join(map(str, plain_feistel([int(c) for c in digits[:-1]], [10] * (len(digits) - 1), "card", key)))
+        return next(body + c for c in "0123456789" if luhn(body + c))
+
+    def address(ip, key):
+        return ".".join(map(str, plain_feistel([int(x) for x in ip.split(".")], [256] * 4, "ip", key)))
+
+    rows = ["4111111111111111", "378282246310005", "190.137.223.204", "6011000990139424"]
+    for key in ("k", "another key"):
+        got = [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(rows)), "i int, text string"), key).orderBy("i").collect()]
+        assert got == [address(x, key) if "." in x else card(x, key) for x in rows]
+
+
+def test_values_before_digits_and_short_words(spark):
+    """What follows a valid value by a blank must not hide it."""
+    rows = ["4111 1111 1111 1111 123", "4111 1111 1111 1111 12/25", "BE68 5390 0754 7034 THE", "ES91 2100 0418 4502 0005 1332 AND", "paid 4111 1111 1111 1111 4111 1111 1111 1111 twice", "IBAN GB29 NWBK 6016 1331 9268 19 OR CASH"]
+    values = [["4111 1111 1111 1111"], ["4111 1111 1111 1111"], ["BE68 5390 0754 7034"], ["ES91 2100 0418 4502 0005 1332"], ["4111 1111 1111 1111"], ["GB29 NWBK 6016 1331 9268 19"]]
+    flat = sorted({v for vs in values for v in vs})
+    run = lambda xs: [r.text for r in pii.pseudonymised(spark.createDataFrame(list(enumerate(xs)), "i int, text string"), "k").orderBy("i").collect()]
+    one = dict(zip(flat, run(flat)))
+    assert all(a != b for a, b in one.items())
+    want = []
+    for row, vs in zip(rows, values):
+        for v in vs:
+            row = row.replace(v, one[v])
+        want.append(row)
+    assert run(rows) == want
 
 
 def test_different_values_stay_different(spark):
     frame = spark.createDataFrame([(f"{i:03d}-55-{j:04d}",) for i in range(1, 40) for j in range(1, 40)], "text string")
-    assert pii.pseudonymised(frame).distinct().count() == 39 * 39
+    assert pii.pseudonymised(frame, "k").distinct().count() == 39 * 39
 
 
 # ---- neighbours, pipeline ---------------------------------------------------------------------------------------------
@@ -557,6 +598,31 @@ def test_registered_queries():
     assert neighbours and common
 
 
+def test_pipeline_of_odd_rows(spark, sf_dir):
+    """Nulls, blanks, repeated rows, an empty table, and columns of the names that the stages use inside."""
+    import corpus_pipeline as C
+
+    extra = "score double, row long, stats string, n long, copy long, of string, all long, alike long, key string, text_ string"
+    rows = [(i, t, lang, s, n, 0.5, 1, "s", 2, 3, "o", 4, 5, "k", None) for i, t, lang, s, n in [(1, None, "en", "a", None), (2, "", None, "a", 0), (3, " \t", "en", None, 2), (4, "x " * 30000, "en", "b", 60000), (5, "the cat sat on the mat and ran away", "en", "b", 5), (5, "the cat sat on the mat and ran away", "en", "b", 5), (None, "one row without an id at all", "en", "c", 7), (None, None, None, None, None)]]
+    odd_docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + extra)
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, odd_docs, sf_dir)
+        assert out.columns == odd_docs.columns
+        got = Counter(r.doc_id for r in out.collect())
+        assert set(got) <= {1, 2, 3, 4, 5, None}
+        if name == "near duplicates":
+            assert got == Counter([1, 2, 3, 4, 5, None, None])
+        if name == "personal data":
+            assert sum(got.values()) == len(rows)
+        if name == "mix":
+            want = Counter()
+            for r in mixing.mixed(odd_docs).collect():
+                want[r.doc_id] += r.copies
+            assert got == Counter({i: k for i, k in want.items() if k})
+        assert stage(spark, odd_docs.limit(0), sf_dir).count() == 0
+    assert C.STAGES[-1][1](spark, odd_docs, sf_dir).count() == len(rows)
+
+
 def test_pipeline(spark, sf_dir, docs):
     import corpus_pipeline as C
 
