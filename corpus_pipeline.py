@@ -10,49 +10,59 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.llm import bpe, mixing, ngram_join, pii, quality
-from knotwork.llm.common import remainder, stored, table
+from knotwork.llm.common import fresh, remainder, stored, table
 
 #: Documents from this score on stay. Lower than the classifier's own decision (0.7): a doubtful document is kept.
 KEEP = 0.5
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that it rejects go. It learns from the labels of rows outside the held-out part; an id that isn't there, and a null text, are scored like any other."""
+    """Quality classifier: documents that it rejects go. It learns from the labels of rows outside the held-out part; an id that isn't there, and a null, empty or very long text, are scored like any other. An empty table stays one. The whole texts are read once: what they are judged by is stored beside them."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    model = quality.fit(quality.with_statistics(docs), labels)
-    return quality.with_score(docs, model, to="__score").where(F.col("__score") >= KEEP).drop("__score")
+    stats = fresh(docs, "stats")
+    read = stored(quality.described(docs, stats), "described")
+    model = quality.fit(read.select("doc_id", F.col(stats).alias("stats")), labels)
+    score = fresh(read, "score")
+    return quality.with_score(read, model, stats, score).where(F.col(score) >= KEEP).select(docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join on five words from 0.8 on: of each group the document with the least id stays, of rows with one id one. Rows without an id and texts without words stay."""
+    """N-gram Jaccard join on five words from 0.8 on: of each group the document with the least id stays, of rows with one id one. Rows without an id and texts without words stay; texts of any length are compared whole; an empty table stays one."""
     found = stored(ngram_join.joined(docs), "groups")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
     twice = stored(found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
+    n = fresh(docs, "n")
     first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    again = kept.join(twice, "doc_id", "left_semi").withColumn("__n", F.row_number().over(first)).where("__n = 1")
+    again = kept.join(twice, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII: valid numbers, dates and addresses under pseudonyms of their format."""
-    out = pii.pseudonymised(docs)
+    """PII: valid numbers, dates and addresses under pseudonyms of their format, n_chars set anew. Null, empty and very long texts, repeated rows and an empty table go through as they are."""
+    out = pii.pseudonymised(docs, pii.key_of(spark))
     return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mixing: each document as often as the mix takes it, so with no, one or more rows."""
-    rows = docs.withColumn("__row", F.xxhash64(*docs.columns))
-    copies = mixing.mixed(rows, keep=["__row"]).groupBy("doc_id", "__row").agg(F.max("copies").alias("__most"), F.min("copies").alias("__least"))
-    # Rows alike in all columns are one group: the mix may take one of them more often, which the larger number stands for.
-    taken = copies.where("__most > 0").select(F.col("__row").alias("__of"), F.col("__most").cast("int").alias("__copies"))
-    return rows.join(taken, F.col("__row") == F.col("__of")).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    """Mixing: each document as often as the mix takes it, so with no, one or more rows. Texts without words, null ones too, weigh nothing and are taken as often as others of their source; a null source is one of its own; an empty table stays one. Of rows alike in all columns any may stand for another, but together they are taken as often as the mix says."""
+    row, of, all_, alike, n = (fresh(docs, x) for x in ("row", "of", "all", "alike", "n"))
+    rows = docs.withColumn(row, F.xxhash64(*docs.columns))
+    copies = mixing.mixed(rows, keep=[row]).groupBy("doc_id", row).agg(F.sum("copies").alias(all_), F.count("*").alias(alike)).where(F.col(all_) > 0)
+    joined = rows.join(copies.select(F.col(row).alias(of), F.col("doc_id").alias("same_id_" + of), all_, alike), (F.col(row) == F.col(of)) & F.col("doc_id").eqNullSafe(F.col("same_id_" + of)))
+    each = F.floor(F.col(all_) / F.col(alike))
+    even = joined.where(F.col(all_) % F.col(alike) == 0).withColumn(n, each)
+    # Only where alike rows differ in how often they are taken: the first ones take one more.
+    odd = joined.where(F.col(all_) % F.col(alike) > 0)
+    odd = odd.withColumn(n, each + (F.row_number().over(W.partitionBy("doc_id", row).orderBy(row)) <= F.col(all_) % F.col(alike)).cast("long"))
+    copy = fresh(docs, "copy")
+    return even.unionByName(odd).where(F.col(n) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(n)))).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE: the ids of each document, and that they decode to its text."""
+    """Byte-level BPE: the ids of each row's whole text, and that they decode to it. Null and empty texts have no ids; an empty table gives an empty one."""
     return bpe.round_trip(docs)
 
 
