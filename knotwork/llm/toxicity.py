@@ -1,6 +1,6 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Written characters may stand for others (leet), be dropped again (separators and blanks between letters) or repeat one. Each stretch that may be such writing becomes a lattice of characters; the Viterbi path under a character trigram model, weighed with what each piece of the channel costs, is the restored stretch. Stretches without a choice are left alone. The trigram model is counted over all documents.
+Written characters may stand for others (leet), be dropped again (separators and blanks between letters) or repeat one. Each stretch that may be such writing becomes a lattice of characters; the Viterbi path under a character trigram model, weighed with what each piece of the channel costs, is the restored stretch. Stretches without a choice are left alone. The trigram model is counted over all documents: pairs of letters exactly, trigrams in a fixed number of cells by hash, so the rarest of a large corpus share cells and none is left out. Latin letters have a symbol each, all other letters share OTHERS symbols by their code points.
 
 The score comes from words of the restored text and from their beginnings: how much more often labelled toxic texts have them than clean ones, counted in one part of the labelled rows, then a logistic fit in the other part on how many such words a text has, how strong they are and how long the text is.
 """
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import remainder, stored, table, unit_hash, whole
+from knotwork.llm.common import dropped, remainder, stored, table, unit_hash, whole
+from knotwork.llm.fingerprints import span_hashes, word_spans
 
 SEED = 7
 #: What a written sign may stand for, besides itself. Fixed values.
@@ -28,12 +29,12 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 BETWEEN = frozenset(" .-_*~'`,^")
 #: Natural logarithms: of reading a sign as another, of dropping a sign between letters, of dropping one of equal letters, of keeping a sign that is no letter.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SIGN = -1.5, -0.7, -0.7, -6.0
-#: Trigrams that are kept one by one.
-MOST_TRIGRAMS = 100_000
+#: Bits of a symbol, and of the number of cells that count trigrams.
+SYMBOL, CELLS = 10, 21
 #: The fit uses this many labelled rows at most, by a hash of the id; all rows are scored.
 MOST_LABELS = 60_000
-#: A word's start must be in so many toxic texts to count; so many of them are weighed at most, the most frequent ones.
-LEAST_SEEN, MOST_FEATURES = 4, 100_000
+#: A word's start must be in so many toxic texts of the labelled sample to count.
+LEAST_SEEN = 4
 #: Starts of words of these lengths count beside the word.
 STARTS = (3, 4, 5, 6, 7, 8)
 EVIDENCE = 1.5  # log ratio from which a word counts
@@ -54,48 +55,67 @@ def _noisy(stretch: str) -> bool:
     return _DOUBLE.search(stretch.lower()) is not None if stretch.isalpha() else _WORD.search(stretch) is not None
 
 
+#: Letters up to here count by themselves, later ones by their code point modulo OTHERS; all other characters count as a blank.
+_LATIN = 0x250
+OTHERS = (1 << SYMBOL) - _LATIN
+_BLANK = ord(" ")
+
+
+@functools.cache
+def _symbols() -> np.ndarray:
+    kinds = np.full(0x110000, _BLANK, np.uint32)
+    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    at = np.flatnonzero(alpha)
+    kinds[at] = np.where(at < _LATIN, at, _LATIN + at % OTHERS)
+    return kinds
+
+
+_SPREAD = 6946789817
+
+
+def _cell(code):
+    """The cell of a trigram's code; the product is below 2**63."""
+    return code * _SPREAD // (1 << 24) % (1 << CELLS)
+
+
 @dataclass
 class Channel:
-    """A character trigram model with add-k smoothing and back-off by interpolation; its size is bounded by the alphabet kept."""
+    """A character trigram model with add-k smoothing and back-off by interpolation: counts of trigrams by cell, of what begins them and of what ends them by pair of symbols. Its size is fixed."""
 
-    trigrams: dict[str, int]
-    pairs: Counter = field(init=False)
-    singles: Counter = field(init=False)
-    total: int = field(init=False)
+    cells: np.ndarray
+    starts: np.ndarray
+    pairs: np.ndarray
 
     def __post_init__(self):
-        self.pairs, self.singles = Counter(), Counter()
-        self.starts: Counter = Counter()
-        for t, n in self.trigrams.items():
-            self.starts[t[:2]] += n
-            self.pairs[t[1:]] += n
-            self.singles[t[2]] += n
-        self._sum()
+        square = self.pairs.reshape(1 << SYMBOL, 1 << SYMBOL)
+        self.befores, self.singles = square.sum(1).tolist(), square.sum(0).tolist()
+        self.total = sum(self.singles)
+        self.symbols: dict[str, int] = {}
         self.seen: dict[str, float] = {}
         self.memo: dict[str, str] = {}
         self.tokens: dict[str, tuple[str, ...]] = {}
 
-    def _sum(self) -> None:
-        self.befores: Counter = Counter()
-        for t, n in self.pairs.items():
-            self.befores[t[0]] += n
-        self.total = sum(self.singles.values())
+    @staticmethod
+    def of(codes: np.ndarray, times: np.ndarray) -> Channel:
+        size = 1 << 2 * SYMBOL
+        counted = lambda at, n: np.bincount(at, times, n).astype(np.int64)
+        return Channel(counted(_cell(codes.astype(np.int64)), 1 << CELLS), counted(codes >> SYMBOL, size), counted(codes & (size - 1), size))
 
-    def counted(self, starts: dict[str, int], pairs: dict[str, int]) -> Channel:
-        """The same with exact counts of what stands below the trigrams."""
-        self.starts, self.pairs, self.singles = Counter(starts), Counter(pairs), Counter()
-        for t, n in pairs.items():
-            self.singles[t[1]] += n
-        self._sum()
-        return self
+    def _symbol(self, c: str) -> int:
+        got = self.symbols.get(c)
+        if got is None:
+            got = self.symbols[c] = (ord(c) if ord(c) < _LATIN else _LATIN + ord(c) % OTHERS) if c.isalpha() else _BLANK
+        return got
 
     def logp(self, context: str, c: str) -> float:
         key = context + c
         got = self.seen.get(key)
         if got is None:
-            p1 = (self.singles[c] + 0.1) / (self.total + 100)
-            p2 = (self.pairs[context[1:] + c] + 4 * p1) / (self.befores[context[1:]] + 4)
-            got = math.log((self.trigrams.get(key, 0) + 4 * p2) / (self.starts[context] + 4))
+            x, y, z = map(self._symbol, key)
+            start, pair = x << SYMBOL | y, y << SYMBOL | z
+            p1 = (self.singles[z] + 0.1) / (self.total + 100)
+            p2 = (int(self.pairs[pair]) + 4 * p1) / (self.befores[y] + 4)
+            got = math.log((int(self.cells[_cell(start << SYMBOL | z)]) + 4 * p2) / (int(self.starts[start]) + 4))
             if len(self.seen) < 1_000_000:
                 self.seen[key] = got
         return got
@@ -109,27 +129,32 @@ class Channel:
                 self.memo[written] = got
         return got
 
+    @staticmethod
+    def moves(text: str, i: int, spaced: bool) -> list[tuple[str, float]]:
+        """What the i-th character of a written stretch may stand for, and what each reading costs. In a `spaced` stretch every second character is one that may stand between letters."""
+        c, moves = text[i], []
+        if c.isalpha():
+            moves.append((c, 0.0))
+            if i and text[i - 1] == c:
+                # Two of a letter are most often meant.
+                moves.append(("", COST_REPEAT if text[i - 2 : i - 1] == c or text[i + 1 : i + 2] == c else 4 * COST_REPEAT))
+            return moves
+        moves.extend((x, COST_LEET) for x in LEET.get(c, ""))
+        inside = 0 < i < len(text) - 1
+        if c in BETWEEN and inside:
+            moves.append(("", 0.0 if spaced else COST_DROP))
+            moves.append((" ", COST_LEET))
+        if not moves or not inside:
+            moves.append((" ", COST_SIGN if moves and not (i and c in _MARKS) else 0.0))
+        return moves
+
     def _decode(self, written: str) -> str:
         text = written.lower()
         spaced = len(text) > 2 and all(c in BETWEEN for c in text[1::2])
         # state: the last two characters -> (score, the string so far as a chain)
         states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
-        for i, c in enumerate(text):
-            moves: list[tuple[str, float]] = []
-            if c.isalpha():
-                moves.append((c, 0.0))
-                if i and text[i - 1] == c:
-                    # Two of a letter are most often meant.
-                    moves.append(("", COST_REPEAT if text[i - 2 : i - 1] == c or text[i + 1 : i + 2] == c else 4 * COST_REPEAT))
-            else:
-                for x in LEET.get(c, ""):
-                    moves.append((x, COST_LEET))
-                inside = 0 < i < len(text) - 1
-                if c in BETWEEN and inside:
-                    moves.append(("", 0.0 if spaced else COST_DROP))
-                    moves.append((" ", COST_LEET))
-                if not moves or not inside:
-                    moves.append((" ", COST_SIGN if moves and not (i and c in _MARKS) else 0.0))
+        for i in range(len(text)):
+            moves = self.moves(text, i, spaced)
             after: dict[str, tuple[float, tuple | None]] = {}
             for state, (score, chain) in states.items():
                 for x, cost in moves:
@@ -164,7 +189,7 @@ class Channel:
         """How often the restored text has each word. Stretches lie within what stands between white space, or are single characters with blanks between; so each distinct token is restored once."""
         out: Counter = Counter()
         single = 0
-        for token, n in Counter(text.split()).items():
+        for token, n in Counter(w.decode("utf-8", "replace") for w in text.encode("utf-8", "replace").lower().split()).items():
             got = self.tokens.get(token)
             if got is None:
                 got = self.token(token)
@@ -184,52 +209,47 @@ class Channel:
         return [w for m in _SPACED.finditer(text) for w in _WORD.findall(self.decode(" ".join(m.group().split())))]
 
 
-#: Letters up to here count by themselves; all later ones as one, all other characters as a blank.
-_LATIN = 0x250
-
-
-@functools.cache
-def _letters() -> np.ndarray:
-    kinds = np.full(0x110000, ord(" "), np.uint32)
-    alpha = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    kinds[alpha] = _LATIN
-    kinds[:_LATIN][alpha[:_LATIN]] = np.flatnonzero(alpha[:_LATIN])
-    return kinds
-
-
 def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all character trigrams of the words of a text, each word as if between blanks, and their counts."""
-    at = np.concatenate(([32, 32], _letters()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], [32])).astype(np.uint32)
+    at = np.concatenate(([_BLANK, _BLANK], _symbols()[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)], [_BLANK])).astype(np.uint32)
     last, middle, first = at[2:], at[1:-1], at[:-2]
-    first = np.where(middle == 32, 32, first)
-    there = (last != 32) | (middle != 32)
-    size = np.uint32(_LATIN + 1)
-    return np.unique(((first * size + middle) * size + last)[there], return_counts=True)
-
-
-def _spelled(code: int) -> str:
-    c = lambda x: "\ufffd" if x == _LATIN else chr(x)
-    size = _LATIN + 1
-    return c(code // size // size) + c(code // size % size) + c(code % size)
+    first = np.where(middle == _BLANK, np.uint32(_BLANK), first)
+    there = (last != _BLANK) | (middle != _BLANK)
+    bits = np.uint32(SYMBOL)
+    return np.unique((((first << bits) | middle) << bits | last)[there], return_counts=True)
 
 
 def letter_counts(docs: DataFrame) -> Channel:
-    """Character trigrams of all words of all documents, words between blanks. Letters beyond the Latin blocks count as one."""
+    """The trigram model of all words of all documents, words between blanks. What the driver gets is bounded by the numbers of cells and of pairs of symbols."""
 
     def run(batches):
-        found: dict[int, int] = {}
+        codes, times = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for batch in batches:
             for part in slices(batch, 0, 1 << 21):
-                codes, times = trigrams(" ".join(part.column(0).to_pylist()))
-                for c, n in zip(codes.tolist(), times.tolist()):
-                    found[c] = found.get(c, 0) + n
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(map(_spelled, found), pa.string()), pa.array(found.values(), pa.int64())], names=["t", "n"])
+                c, n = trigrams(" ".join(part.column(0).to_pylist()))
+                codes.append(c)
+                times.append(n)
+            if len(codes) > 8:
+                codes, times = ([x] for x in summed(codes, times))
+        c, n = summed(codes, times)
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)), pa.array(n)], names=["t", "n"])
+
+    def summed(codes: list, times: list) -> tuple[np.ndarray, np.ndarray]:
+        c, back = np.unique(np.concatenate(codes), return_inverse=True)
+        return c, np.bincount(back, np.concatenate(times), len(c)).astype(np.int64)
+
+    counts = stored(docs.select(whole().alias("text")).mapInArrow(run, "t long, n long").groupBy("t").agg(F.sum("n").alias("n")), "letters")
+
+    def gathered(at, n: int) -> np.ndarray:
+        got = counts.groupBy(at.cast("long").alias("at")).agg(F.sum("n").alias("n")).toArrow()
+        out = np.zeros(n, np.int64)
+        out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        return out
 
-    counts = stored(docs.select(whole().alias("text")).mapInArrow(run, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")), "letters")
-    # The most frequent trigrams; ties by the trigram. Pairs are counted from all of them, and bounded by the square of the alphabet.
-    pairs = lambda at: {r["p"]: r["n"] for r in counts.groupBy(F.substring("t", at, 2).alias("p")).agg(F.sum("n").alias("n")).collect()}
-    return Channel({r["t"]: r["n"] for r in counts.orderBy(F.desc("n"), "t").limit(MOST_TRIGRAMS).collect()}).counted(pairs(1), pairs(2))
+    t, size = F.col("t"), 1 << 2 * SYMBOL
+    out = Channel(gathered(F.expr(f"t * {_SPREAD} div {1 << 24} % {1 << CELLS}"), 1 << CELLS), gathered(F.expr(f"t div {1 << SYMBOL}"), size), gathered(t % size, size))
+    dropped(counts)
+    return out
 
 
 @functools.lru_cache(maxsize=200_000)
@@ -247,14 +267,15 @@ def features(words: list[str]) -> set[str]:
 
 @dataclass
 class Model:
-    """What is broadcast: the channel and MOST_FEATURES weights at most."""
+    """What is broadcast: the channel, and the weights, which the labelled sample bounds."""
 
     channel: Channel
     weights: dict[str, float]
     beta: np.ndarray
     prior: float
     memo: dict[str, float] = field(default_factory=dict)
-    seen: dict[str, tuple[int, tuple]] = field(default_factory=dict)
+    seen: dict[int, int] = field(default_factory=dict)
+    told: dict[int, tuple] = field(default_factory=dict)
 
     def word(self, w: str) -> float:
         got = self.memo.get(w)
@@ -273,33 +294,43 @@ class Model:
         strong, times = sorted((x for x, _ in found.values()), reverse=True), sum(k for _, k in found.values())
         return [1.0, math.log1p(len(strong)), (strong[0] if strong else 0.0), sum(strong[:3]), math.log1p(sum(strong)), math.log1p(100 * times / max(1, n)), math.log1p(times), math.log1p(n)]
 
-    def scan(self, text: str) -> list[float]:
-        """evidence(channel.words(text)): what a token has to say is worked out once, and is nothing for most."""
-        found: dict[str, tuple[float, int]] = {}
-        total = single = 0
-        for token, n in Counter(text.split()).items():
-            got = self.seen.get(token)
-            if got is None:
-                words = self.channel.token(token)
-                got = (len(words), tuple((w, x) for w in words if (x := self.word(w)) > EVIDENCE))
-                if len(self.seen) > 300_000:
-                    self.seen.clear()
-                self.seen[token] = got
-            total += got[0] * n
-            for w, x in got[1]:
-                found[w] = (x, found.get(w, (x, 0))[1] + n)
-            if len(token) == 1:
-                single += n
-        if single > 2:
-            for w in self.channel.spaced(text):
-                total += 1
-                if (x := self.word(w)) > EVIDENCE:
-                    found[w] = (x, found.get(w, (x, 0))[1] + 1)
-        return self._evidence(found, total)
+    def _token(self, h: int, token: str) -> int:
+        """What a token has to say, worked out once: how many words it has, whether it is a single character, whether any word is evidence (that is in `told`)."""
+        words = self.channel.token(token)
+        if hits := tuple((w, x) for w in words if (x := self.word(w)) > EVIDENCE):
+            self.told[h] = hits
+        got = self.seen[h] = len(words) << 2 | (len(token) == 1) << 1 | bool(hits)
+        return got
+
+    def evidences(self, texts: list[str]) -> np.ndarray:
+        """evidence(channel.words(text)) of each text. Tokens are told apart by their hash, so that only those not met before are read one by one."""
+        if len(self.seen) > 600_000:
+            self.seen.clear()
+            self.told.clear()
+        raw, starts, ends, counts = word_spans([t.encode("utf-8", "replace").lower() for t in texts])
+        hashes, first, back = np.unique(span_hashes(raw, starts, ends), return_index=True, return_inverse=True)
+        said = [self.seen.get(h) for h in hashes.tolist()]
+        for i, x in enumerate(said):
+            if x is None:
+                k = first[i]
+                said[i] = self._token(int(hashes[i]), raw[starts[k] : ends[k]].decode("utf-8", "replace"))
+        said, of = np.array(said, np.int64)[back], np.repeat(np.arange(len(texts)), counts)
+        totals, singles = (np.bincount(of, v, len(texts)).astype(np.int64).tolist() for v in (said >> 2, said >> 1 & 1))
+        found: list[dict[str, tuple[float, int]]] = [{} for _ in texts]
+        hit = np.flatnonzero(said & 1)
+        for d, h in zip(of[hit].tolist(), hashes[back[hit]].tolist()):
+            for w, x in self.told[h]:
+                found[d][w] = (x, found[d].get(w, (x, 0))[1] + 1)
+        for d, n in enumerate(singles):
+            if n > 2:
+                for w in self.channel.spaced(texts[d]):
+                    totals[d] += 1
+                    if (x := self.word(w)) > EVIDENCE:
+                        found[d][w] = (x, found[d].get(w, (x, 0))[1] + 1)
+        return np.array([self._evidence(f, n) for f, n in zip(found, totals)]).reshape(len(texts), -1)
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        x = np.array([self.scan(t) for t in texts]).reshape(len(texts), -1)
-        return 1 / (1 + np.exp(-np.clip(x @ self.beta, -30, 30))) if len(self.beta) and len(texts) else np.full(len(texts), self.prior)
+        return 1 / (1 + np.exp(-np.clip(self.evidences(texts) @ self.beta, -30, 30))) if len(self.beta) and len(texts) else np.full(len(texts), self.prior)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MOST_LABELS, seed: int = SEED) -> Model:
@@ -331,7 +362,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
                 yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["f", "n"])
 
     toxic = counted.where("y").select("words").mapInArrow(listed, "f string, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_SEEN)
-    seen = {r["f"]: r["n"] for r in toxic.orderBy(F.desc("n"), "f").limit(MOST_FEATURES).collect()}
+    seen = {r["f"]: r["n"] for r in toxic.collect()}  # words of the labelled sample's toxic texts and their starts
     names = list(seen)
     at = {f: i for i, f in enumerate(names)}
 
@@ -391,7 +422,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 21):
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.scores(part.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return docs.select("doc_id", whole().alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -400,7 +431,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 def classified(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score and predicted of every document.
 
-    Null texts count as empty; an empty text has a score like any other. Repeated rows get repeated results; an empty table an empty result. Columns other than doc_id and text are not looked at."""
+    Null texts count as empty; an empty text has a score like any other; a very long one is scored whole, and so is a very long word, whose lattice grows with its length only. Repeated rows get repeated results; an empty table an empty result. Columns other than doc_id and text are not looked at."""
     modulus, left = held_out
     model = fit(docs, labels.where(remainder("doc_id", modulus) != left))
     out = scored(docs, model)

@@ -380,34 +380,69 @@ def test_parts_meet_at_safe_places():
 # ---- toxicity and quality ---------------------------------------------------------------------------------------------
 
 
+def channel_of(times):
+    return toxicity.Channel.of(*toxicity.trigrams(" ".join(w for w, n in times.items() for _ in range(n))))
+
+
+@pytest.mark.parametrize("written", ["id10t", "1.d-i0t", "iddiioot", "i d i o t", "$h1t!", "a@@a", "0", "ооо3", "th3", "(un7"])
+def test_viterbi_against_all_readings(written):
+    channel = channel_of({"idiot": 50, "the": 500, "is": 300, "dot": 20, "count": 9, "слово": 7})
+    spaced = len(written) > 2 and all(c in toxicity.BETWEEN for c in written[1::2])
+    readings = [("", 0.0)]
+    for i in range(len(written)):
+        readings = [(r + x, s + cost) for r, s in readings for x, cost in channel.moves(written, i, spaced)]
+    score = lambda r: sum(channel.logp(("  " + r)[k : k + 2], c) for k, c in enumerate(r + " "))
+    best = max(s + score(r) for r, s in readings)
+    got = channel.decode(written)
+    assert max(s + score(r) for r, s in readings if r == got) == pytest.approx(best)
+
+
 @pytest.mark.parametrize("written", ["1d10t", "i d i o t", "idioooot", "i.d.i.o.t", "!d!ot", "IDIOT"])
 def test_deobfuscation(written):
-    tri = Counter()
-    for w, n in {"idiot": 50, "the": 500, "is": 300, "at": 100, "dot": 20, "it": 90}.items():
-        for i in range(len(w) + 1):
-            tri[f"  {w} "[i : i + 3]] += n
-    channel = toxicity.Channel(dict(tri))
+    channel = channel_of({"idiot": 50, "the": 500, "is": 300, "at": 100, "dot": 20, "it": 90})
     assert channel.restore(f"the {written} is") == "the idiot is"
     assert channel.words(f"the {written} is")["idiot"] == 1
 
 
 @pytest.mark.parametrize("written, word", [("idio7", "idiot"), ("idi07", "idiot"), ("tras#", "trash"), ("scum5", "scums"), ("l053r", "loser"), ("l0$3r", "loser"), ("50(um", "socum"), ("1053r", "loser"), ("w0rthl3$$", "worthless"), ("d15gu571ng", "disgusting"), ("stuupid", "stupid"), ("mooronn", "moron"), ("i  d\ti o\nt", "idiot"), ("idiot!", "idiot")])
 def test_deobfuscation_in_any_place(written, word):
-    tri = Counter()
-    for w, n in {w: 60 for w in ("idiot", "trash", "scums", "loser", "socum", "worthless", "disgusting", "stupid", "moron")}.items() | {("the", 500), ("is", 300), ("at", 100)}:
-        for i in range(len(w) + 1):
-            tri[f"  {w} "[i : i + 3]] += n
-    channel = toxicity.Channel(dict(tri))
+    channel = channel_of({w: 60 for w in ("idiot", "trash", "scums", "loser", "socum", "worthless", "disgusting", "stupid", "moron")} | {"the": 500, "is": 300, "at": 100})
     assert channel.words(f"the {written} is")[word] == 1 and channel.restore(f"the {written} is").split()[1] == word
 
 
-def test_rare_trigrams_keep_their_mass(spark, monkeypatch):
-    frame = table(spark, [(1, "the idiot is a zebra", "en", "s"), (2, "the cat", "en", "s")])
-    every = toxicity.letter_counts(frame)
-    monkeypatch.setattr(toxicity, "MOST_TRIGRAMS", 3)
-    few = toxicity.letter_counts(frame)
-    assert len(few.trigrams) == 3 and (few.pairs, few.singles, few.starts, few.befores, few.total) == (every.pairs, every.singles, every.starts, every.befores, every.total)
-    assert every.total == sum(every.trigrams.values()) and every.starts["  "] == 7
+def test_letter_counts(spark):
+    texts = ["the idiot is a zebra", "the cat, слово!", None, ""]
+    got = toxicity.letter_counts(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3))
+    tri = Counter(f"  {w} "[i : i + 3] for t in texts for w in re.findall(r"[^\W\d_]+", t or "") for i in range(len(w) + 1))
+    assert got.total == sum(tri.values()) == got.cells.sum() == got.starts.sum()
+    symbol = got._symbol
+    for t, n in tri.items():
+        x, y, z = map(symbol, t)
+        assert got.cells[toxicity._cell((x << 10 | y) << 10 | z)] >= n
+        assert got.starts[x << 10 | y] == sum(k for u, k in tri.items() if u[:2] == t[:2]) and got.pairs[y << 10 | z] == sum(k for u, k in tri.items() if u[1:] == t[1:])
+
+
+def test_evidence_of_many_texts(spark):
+    """Texts scanned together give what each text's restored words give."""
+    channel = channel_of({"idiot": 50, "the": 500, "is": 300, "house": 90})
+    model = toxicity.Model(channel, {"idiot": 3.0, "idi-": 2.0}, np.zeros(0), 0.5)
+    texts = ["the 1d10t is", "", "i d i o t the", "IDIOT idiot, id!ot", "house " * 50, "the\tx y z q"]
+    assert model.evidences(texts).tolist() == [model.evidence(channel.words(t)) for t in texts]
+
+
+def held_out_right(got, labels, label, modulus, left):
+    both = [(r.predicted, y) for r in got if (y := labels.get(r.doc_id)) is not None and r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % modulus == left) for r in got)
+    return sum(p == y for p, y in both) / len(both)
+
+
+def test_held_out_labels(spark):
+    """Both classifiers, on labels that they don't learn from."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    of = lambda label: {r.doc_id: r[label] for r in labels.collect()}
+    assert held_out_right(toxicity.classified(docs, labels).collect(), of("toxic"), "toxic", 5, 0) >= 0.93
+    assert held_out_right(quality.classified(docs, labels).collect(), of("quality"), "quality", 4, 2) >= 0.9
 
 
 def labelled(spark, bad, n=600):
