@@ -1,6 +1,8 @@
 """Main text of web pages by nearest-URL page differencing.
 
-A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. What is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted, but for those inside the page's strongest mark of an article (article, main, or a class that says so). Equal pages of a host are one page here. Where two pages share almost all their text, a shared line is the site's own if the other neighbour has it too.
+A page becomes lines, one for each block, without what its tags, roles, classes and ids name as menus, headers, footers, side bars, notices, adverts, forms, scripts, styles or reader comments. What is left still holds the site's own lines, which the page next to it has as well. So pages are ordered by host and URL path, each page is paired with the nearer of its two neighbours on the host, the lines of both are aligned by longest common subsequence, and the shared lines are deleted. Equal pages of a host are one page here.
+
+Two pages that share VERSION of their text or more may be versions of one: then only those lines are the site's own that the further neighbour has too. Lines inside an article element are compared like all others but stay: articles repeat each other's short lines, quotes and passages, and what the element holds is theirs.
 """
 
 from __future__ import annotations
@@ -31,14 +33,15 @@ NOISE = frozenset(
 #: Outside an article also these.
 NOISE_OUTSIDE = NOISE | {"header", "heading", "head", "top", "bottom", "site", "logo"}
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar status toolbar".split())
-#: One of these as a whole class or id marks the article where no article or main element does.
-ARTICLE = frozenset("article post content entry story article-body article-content post-content post-body entry-content main-content story-body page-content body-content content-body main articlebody".split())
 #: In the name of an article these say that a noise word is about it: has-sidebar, comments-open.
 ABOUT = frozenset("has have with without no not is open closed format category tag".split())
 _WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+(?![a-z])")
 _CLOSES_P = BLOCKS - {"tbody", "td", "tfoot", "th", "thead", "tr", "caption", "html", "body"}
 #: Pages that share this part of the text may be versions of one page: the further neighbour decides.
-COPY = 0.9
+VERSION = 0.5
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Rows of bits that `common` keeps at once, in bits.
+ROWS = 1 << 26
 
 
 def _noise(name: str) -> bool:
@@ -48,16 +51,16 @@ def _noise(name: str) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Collects lines as (rank of the article mark they are in, text): 3 article, 2 main, 1 a class, 0 none."""
+    """Collects lines as (whether they are inside an article, text)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, dropped, rank
+        self.open: list[tuple[str, bool, bool]] = []  # tag, dropped, inside an article
         self.parts: list[str] = []
-        self.lines: list[tuple[int, str]] = []
+        self.lines: list[tuple[bool, str]] = []
 
-    def _state(self) -> tuple[bool, int]:
-        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+    def _state(self) -> tuple[bool, bool]:
+        return (self.open[-1][1], self.open[-1][2]) if self.open else (False, False)
 
     def _end_line(self) -> None:
         if self.parts:
@@ -87,37 +90,30 @@ class _Lines(HTMLParser):
                     break
                 if t in BLOCKS or t in DROPPED:
                     break
-        dropped, rank = self._state()
+        dropped, inside = self._state()
         if not dropped and tag not in ("html", "body"):
-            dropped, rank = self._judged(tag, dict(attrs), rank)
+            dropped, inside = self._judged(tag, dict(attrs), inside)
             if dropped:
                 self._end_line()
-        self.open.append((tag, dropped, rank))
+        self.open.append((tag, dropped, inside))
 
     @staticmethod
-    def _judged(tag: str, attrs: dict, rank: int) -> tuple[bool, int]:
-        if tag in DROPPED or (tag == "header" and not rank):
-            return True, rank
+    def _judged(tag: str, attrs: dict, inside: bool) -> tuple[bool, bool]:
+        """Whether an element is no article text, and whether what is in it is inside an article."""
+        if tag in DROPPED or (tag == "header" and not inside):
+            return True, inside
         if "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-            return True, rank
+            return True, inside
         role = (attrs.get("role") or "").lower()
         if role in ROLES:
-            return True, rank
+            return True, inside
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        if names.strip():
-            whole = {n.lower() for n in names.split()}
-            if tag in BLOCKS and whole & ARTICLE and rank < 1:
-                rank = 1
-            elif tag == "article":
-                if not whole & ARTICLE and any(_noise(n) for n in names.split()):
-                    return True, rank
-            elif tag != "main" and {w.lower() for w in _WORDS.findall(names)} & (NOISE if rank else NOISE_OUTSIDE):
-                return True, rank
         if tag == "article" or role == "article":
-            rank = 3
-        elif (tag == "main" or role == "main") and rank < 2:
-            rank = 2
-        return False, rank
+            return any(_noise(n) for n in names.split()), True
+        # A heading inside an article is its own, whatever it is about.
+        if names.strip() and tag != "main" and not (inside and tag in _HEADINGS):
+            return bool({w.lower() for w in _WORDS.findall(names)} & (NOISE if inside else NOISE_OUTSIDE)), inside
+        return False, inside
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -142,61 +138,92 @@ class _Lines(HTMLParser):
 
 
 def page_lines(html: str) -> list[tuple[bool, str]]:
-    """All lines that may be text, and whether each is in the page's strongest mark: article, then main, then a class."""
+    """All lines that may be text, and whether each is inside an article element."""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser._end_line()
-    rank = max((r for r, _ in parser.lines), default=0)
-    return [(r == rank > 0, t) for r, t in parser.lines]
+    return parser.lines
+
+
+def _rows(a: list, where: dict, full: int, keep: bool) -> tuple[int, list[int]]:
+    """Crochemore's rows: after some lines of a, a zero bit j says that line j of b adds one to the common length."""
+    v, rows = full, []
+    for x in a:
+        if keep:
+            rows.append(v)
+        u = v & where.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    return v, rows
+
+
+def _bits(b: list) -> dict:
+    where: dict[str, int] = {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    return where
+
+
+def _zeros(v: int, n: int) -> list[int]:
+    """How many of the lowest j bits are zero, for j from 0 to n."""
+    out, k = [0], 0
+    for bit in reversed(bin(v | 1 << n)[3:]):
+        k += bit == "0"
+        out.append(k)
+    return out
 
 
 def common(a: list[str], b: list[str]) -> list[int]:
     """The places in a of one longest common subsequence of a and b.
 
-    Common ends are cut off, the rest is worked out with one bit for each line of b (Crochemore's rows), and read back from the rows."""
+    Common ends are cut off, the rest is worked out with one bit for each line of b and read back from the rows. Where these would take more than ROWS bits, a is cut in two, and b where both parts' common lengths add up to the most (Hirschberg), so memory grows with the lines and not with their square."""
     lo, n, m = 0, len(a), len(b)
     while lo < n and lo < m and a[lo] == b[lo]:
         lo += 1
     while n > lo and m > lo and a[n - 1] == b[m - 1]:
         n, m = n - 1, m - 1
     found = [*range(lo), *range(n, len(a))]
-    if n > lo and m > lo:
-        where: dict[str, int] = {}
-        for j in range(lo, m):
-            where[b[j]] = where.get(b[j], 0) | 1 << (j - lo)
-        kept = [i for i in range(lo, n) if a[i] in where]  # others match nothing
-        full = (1 << (m - lo)) - 1
-        v, rows = full, []
-        for i in kept:
-            rows.append(v)
-            u = v & where[a[i]]
-            v = ((v + u) | (v - u)) & full
-        # A zero bit j in the rows after line i says that line j of b adds one to the common length.
-        j = m - lo - 1
-        for k in range(len(kept) - 1, -1, -1):
-            after = rows[k + 1] if k + 1 < len(rows) else v
-            while j >= 0 and after >> j & 1:
-                j -= 1
-            if j < 0:
-                break
-            if rows[k] >> j & 1:  # it wasn't there before line k: line k matches it
-                found.append(kept[k])
-                j -= 1
+    there, here = {*b[lo:m]}, {*a[lo:n]}
+    kept = [i for i in range(lo, n) if a[i] in there]  # others match nothing
+    right = [x for x in b[lo:m] if x in here]
+    if not kept:
+        return sorted(found)
+    left, full = [a[i] for i in kept], (1 << len(right)) - 1
+    if len(left) > 1 and len(left) * len(right) > ROWS:
+        half = len(left) // 2
+        head = _zeros(_rows(left[:half], _bits(right), full, False)[0], len(right))
+        tail = _zeros(_rows(left[: half - 1 : -1], _bits(right[::-1]), full, False)[0], len(right))[::-1]
+        cut = max(range(len(right) + 1), key=lambda j: head[j] + tail[j])
+        found += [kept[i] for i in common(left[:half], right[:cut])] + [kept[half + i] for i in common(left[half:], right[cut:])]
+        return sorted(found)
+    v, rows = _rows(left, _bits(right), full, True)
+    j = len(right) - 1
+    for k in range(len(left) - 1, -1, -1):
+        after = rows[k + 1] if k + 1 < len(rows) else v
+        while j >= 0 and after >> j & 1:
+            j -= 1
+        if j < 0:
+            break
+        if rows[k] >> j & 1:  # it wasn't there before line k: line k matches it
+            found.append(kept[k])
+            j -= 1
     return sorted(found)
 
 
 def shared_places(lines: list[str], other: list[str], further: list[str] | None) -> list[int]:
-    """The places of the lines that the nearer page has as well. Where these are almost all the text, the two may be versions of one page, so only those count that the further page has too; without one, all."""
-    shared = common(lines, other)
-    size = lambda x: int(x[16:])
-    if further is not None and sum(size(lines[i]) for i in shared) >= COPY * sum(map(size, lines)):
-        return sorted({*shared} & {*common(lines, further)})
-    return shared
+    """The places of the lines to delete. A line is + (inside an article) or -, a hash of 16 digits, and its length.
+
+    Lines are the site's that the nearer page has as well, inside an article or not; where these are VERSION of the text or more, those that the further page has too. What is inside an article here stays."""
+    text = lambda xs: [x[1:] for x in xs]
+    size = lambda places: sum(int(lines[i][17:]) for i in places)
+    near = common(text(lines), text(other))
+    if further is not None and size(near) >= VERSION * size(range(len(lines))):
+        near = sorted({*near} & {*common(text(lines), text(further))})
+    return [i for i in near if lines[i][0] == "-"]
 
 
 def url_key(url: str | None) -> tuple[str, str]:
-    """Host and path by which pages are ordered: no scheme, query, fragment, closing slash or .html."""
+    """Host and path by which pages are ordered: no scheme, query, fragment, closing slash or .html. No host where the url names none."""
     try:
         u = urlsplit((url or "").strip())
         host, path = (u.netloc or "").lower(), u.path
@@ -221,7 +248,7 @@ _LINES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.s
 
 
 def sign(protected: bool, line: str) -> str:
-    """What stands for a line where pages are compared: its mark, then a hash of 64 bits and its length."""
+    """What stands for a line where pages are compared: whether it is inside an article, then a hash of 64 bits and its length."""
     return f"{'+' if protected else '-'}{hashlib.blake2b(line.encode('utf-8', 'replace'), digest_size=8).hexdigest()}{len(line)}"
 
 
@@ -231,11 +258,10 @@ def _gone(befores: list[dict | None], rows: list[dict], afters: list[dict | None
     for a, b, c in zip(befores, rows, afters):
         a, c = (x if x and x["host"] == b["host"] else None for x in (a, c))
         other, further = (a, c) if a and (not c or nearer(b["path"], a["path"], c["path"])) else (c, a)
-        if not other or "-" not in b["signs"]:
+        if not other or not b["host"] or "-" not in b["signs"]:
             continue
-        signs = b["signs"].split("\n")
-        lines_of = lambda x: [s[1:] for s in x["signs"].split("\n") if s]
-        if gone := [i for i in shared_places(lines_of(b), lines_of(other), further and lines_of(further)) if signs[i][0] == "-"]:
+        lines_of = lambda x: [s for s in x["signs"].split("\n") if s]
+        if gone := shared_places(lines_of(b), lines_of(other), further and lines_of(further)):
             out.append({"host": b["host"], "page": b["page"], "gone": gone})
     return out
 
@@ -243,7 +269,7 @@ def _gone(befores: list[dict | None], rows: list[dict], afters: list[dict | None
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page (page_id, url, html).
 
-    Null html is empty and has the empty text; pages with a null or odd url are one host of their own; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. Only hashes of lines are dealt, by ranges of host and path, so one large host spreads over many tasks; equal pages of a host are dealt once. The pages are read again for the text."""
+    Null html is empty and has the empty text; pages whose url names no host are compared with none; repeated rows give repeated results; an empty table an empty one. The whole html is read; other columns are not looked at. Only hashes of lines are dealt, by ranges of host and path, so one large host spreads over many tasks; equal pages of a host are dealt once. The pages are read again for the text."""
 
     def read(batches):
         for batch in batches:

@@ -537,6 +537,58 @@ def test_copies_and_boilerplate(spark):
     assert texts_of(spark, [page(f"{long}x"), page(long), page(long, "<p>As of May</p>"), page(f"{long}y")]) == [f"{long}x", long.strip(), f"{long.strip()}\nAs of May", f"{long}y"]
 
 
+def test_marks_that_name_no_article(spark):
+    """A class or main around the site's lines protects none of them; a heading inside an article stays whatever its class says."""
+    site = lambda x, mark: f"<div {mark}><p>Home and all about it</p><p>A story of number {x}</p><p>Imprint of the house</p></div>"
+    for mark in ("id='content'", "class='main'", "role='main'"):
+        assert texts_of(spark, [site(i, mark) for i in range(5)]) == [f"A story of number {i}" for i in range(5)]
+    assert texts_of(spark, ["<article><h2 class='related-work'>Related work</h2><p>Text</p></article>"]) == ["Related work\nText"]
+
+
+def test_pages_without_a_host_are_apart(spark):
+    pages = [(1, None), (2, None), (3, "no url"), (4, "no url"), (5, "http://[bad")]
+    frame = spark.createDataFrame([(i, u, f"<p>One line</p><p>Page {i}</p>") for i, u in pages], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in page_diff.extracted(frame).collect()} == {i: f"One line\nPage {i}" for i, _ in pages}
+
+
+def test_common_in_little_memory(monkeypatch):
+    rng = random.Random(9)
+    for _ in range(40):
+        a, b = ([rng.choice("abcdef") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        monkeypatch.setattr(page_diff, "ROWS", 1 << 26)
+        n = len(page_diff.common(a, b))
+        monkeypatch.setattr(page_diff, "ROWS", 20)
+        got, rest = page_diff.common(a, b), iter(b)
+        assert len(got) == n and all(a[i] in rest for i in got)
+
+
+def test_whole_extraction_against_a_plain_version(spark):
+    """Hosts of pages in random order: the plain version sorts each host's paths and compares with a table of common lengths."""
+
+    def plain_common(a, b):
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a) - 1, -1, -1):
+            for j in range(len(b) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+        return best[0][0]
+
+    rng, pages = random.Random(12), []
+    for h in range(6):
+        menu = [f"Menu {h} entry {k}" for k in range(4)]
+        for p in rng.sample(range(1000), 9):
+            own = [f"Story {h} {p} paragraph {k} and so on at some length" for k in range(rng.randint(2, 6))]
+            pages.append((h, f"/{rng.choice(['a', 'b'])}/{p}", menu[:2] + own + menu[2:], own))
+    rng.shuffle(pages)
+    frame = spark.createDataFrame([(i, f"https://h{h}.example.org{p}", "".join(f"<p>{x}</p>" for x in lines)) for i, (h, p, lines, _) in enumerate(pages)], "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text.split("\n") for r in page_diff.extracted(frame).collect()}
+    for i, (h, path, lines, own) in enumerate(pages):
+        host = sorted((p, ls) for hh, p, ls, _ in pages if hh == h)
+        at = [p for p, _ in host].index(path)
+        near = [host[k] for k in (at - 1, at + 1) if 0 <= k < len(host)]
+        other = near[0] if len(near) == 1 or page_diff.nearer(path, near[0][0], near[1][0]) else near[1]
+        assert len(lines) - len(got[i]) == plain_common(lines, other[1]) and got[i] == own
+
+
 # ---- personal data ----------------------------------------------------------------------------------------------------
 
 
