@@ -30,7 +30,7 @@ BETWEEN = frozenset(" .-_*~'`,^")
 #: Natural logarithms: of reading a sign as another, of dropping a sign between letters, of dropping one of equal letters, of keeping a sign that is no letter.
 COST_LEET, COST_DROP, COST_REPEAT, COST_SIGN = -1.5, -0.7, -0.7, -6.0
 #: Bits of a symbol, and of the number of cells that count trigrams.
-SYMBOL, CELLS = 10, 21
+SYMBOL, CELLS = 10, 20
 #: The fit uses this many labelled rows at most, by a hash of the id; all rows are scored.
 MOST_LABELS = 60_000
 #: A word's start must be in so many toxic texts of the labelled sample to count.
@@ -44,6 +44,9 @@ _LETTER = r"[^\W\d_]"
 _STRETCH = re.compile(rf"(?:{_LETTER}|[{re.escape(''.join({*LEET, *BETWEEN} - {' '}))}])+")
 _WORD = re.compile(rf"{_LETTER}+")
 _DOUBLE = re.compile(r"(.)\1")
+_TRIPLE = re.compile(r"(.)\1\1")
+#: Marks that end a token and belong to no word.
+_ENDS = ".,;:!?\"')&%"
 #: Single characters with white space between each two.
 _SPACED = re.compile(r"(?<!\S)\S\s+(?:\S\s+)+\S(?!\S)")
 #: At a word's end these are most often no letter.
@@ -87,7 +90,7 @@ class Channel:
     pairs: np.ndarray
 
     def __post_init__(self):
-        square = self.pairs.reshape(1 << SYMBOL, 1 << SYMBOL)
+        square = self.pairs.reshape(1 << SYMBOL, 1 << SYMBOL).astype(np.int64)
         self.befores, self.singles = square.sum(1).tolist(), square.sum(0).tolist()
         self.total = sum(self.singles)
         self.symbols: dict[str, int] = {}
@@ -98,7 +101,7 @@ class Channel:
     @staticmethod
     def of(codes: np.ndarray, times: np.ndarray) -> Channel:
         size = 1 << 2 * SYMBOL
-        counted = lambda at, n: np.bincount(at, times, n).astype(np.int64)
+        counted = lambda at, n: np.bincount(at, times, n).astype(np.uint32)
         return Channel(counted(_cell(codes.astype(np.int64)), 1 << CELLS), counted(codes >> SYMBOL, size), counted(codes & (size - 1), size))
 
     def _symbol(self, c: str) -> int:
@@ -177,14 +180,31 @@ class Channel:
 
     def token(self, token: str) -> tuple[str, ...]:
         """The words of what stands between white space."""
-        # Most tokens are letters with a mark at their end, and have one reading.
-        core = token.rstrip(".,;:!?\"')&%").lstrip("\"'(")
+        # Most tokens are letters with marks around them: the marks are none of the word.
+        core = token.rstrip(_ENDS).lstrip("\"'(")
         if core[-3:] in ("$$$", "***", "###"):
-            core = core[:-3]
-        if core.isalpha() and not _DOUBLE.search(low := core.lower()):
-            return (low,)
+            core = core[:-3].rstrip(_ENDS)
+        if core.isalpha():
+            low = core.lower()
+            if not _DOUBLE.search(low):
+                return (low,)
+            if not _TRIPLE.search(low) and low.isalpha():
+                return (self.undoubled(low),)
+            return tuple(_WORD.findall(self.decode(low)))
         return tuple(_WORD.findall(self.restore(token)))
 
+    def undoubled(self, word: str) -> str:
+        """decode(word) for letters of which none stands more than twice in a row. After the letter behind a double one both its readings are in the same state, so each is decided by itself."""
+        out, last = [word[0]], len(word) - 1
+        for i in range(1, len(word)):
+            c = word[i]
+            if c == word[i - 1]:
+                before, after = word[i - 2] + c if i > 1 else " " + c, word[i + 1] if i < last else " "
+                if self.logp(before, after) + 4 * COST_REPEAT > self.logp(before, c) + self.logp(c + c, after):
+                    continue
+            out.append(c)
+        return "".join(out)
+
     def words(self, text: str) -> Counter:
         """How often the restored text has each word. Stretches lie within what stands between white space, or are single characters with blanks between; so each distinct token is restored once."""
         out: Counter = Counter()
@@ -193,7 +213,7 @@ class Channel:
             got = self.tokens.get(token)
             if got is None:
                 got = self.token(token)
-                if len(self.tokens) > 300_000:
+                if len(self.tokens) > 200_000:
                     self.tokens.clear()
                 self.tokens[token] = got
             for w in got:
@@ -242,8 +262,8 @@ def letter_counts(docs: DataFrame) -> Channel:
 
     def gathered(at, n: int) -> np.ndarray:
         got = counts.groupBy(at.cast("long").alias("at")).agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(n, np.int64)
-        out[got.column("at").to_numpy()] = got.column("n").to_numpy()
+        out = np.zeros(n, np.uint32)
+        out[got.column("at").to_numpy()] = np.minimum(got.column("n").to_numpy(), 2**32 - 1)
         return out
 
     t, size = F.col("t"), 1 << 2 * SYMBOL
@@ -274,13 +294,19 @@ class Model:
     beta: np.ndarray
     prior: float
     memo: dict[str, float] = field(default_factory=dict)
+    heads: frozenset[str] = field(init=False)
     seen: dict[int, int] = field(default_factory=dict)
     told: dict[int, tuple] = field(default_factory=dict)
 
+    def __post_init__(self):
+        self.heads = frozenset(f[:3] for f in self.weights)
+
     def word(self, w: str) -> float:
+        if w[:3] not in self.heads:
+            return 0.0
         got = self.memo.get(w)
         if got is None:
-            got = max((self.weights.get(x, 0.0) for x in _starts(w)), default=0.0) if len(w) > 2 else 0.0
+            got = max((self.weights.get(x, 0.0) for x in _starts(w)), default=0.0)
             if len(self.memo) < 500_000:
                 self.memo[w] = got
         return got
@@ -304,7 +330,7 @@ class Model:
 
     def evidences(self, texts: list[str]) -> np.ndarray:
         """evidence(channel.words(text)) of each text. Tokens are told apart by their hash, so that only those not met before are read one by one."""
-        if len(self.seen) > 600_000:
+        if len(self.seen) > 400_000:
             self.seen.clear()
             self.told.clear()
         raw, starts, ends, counts = word_spans([t.encode("utf-8", "replace").lower() for t in texts])

@@ -410,6 +410,14 @@ def test_deobfuscation_in_any_place(written, word):
     assert channel.words(f"the {written} is")[word] == 1 and channel.restore(f"the {written} is").split()[1] == word
 
 
+def test_doubled_letters_as_viterbi_reads_them():
+    channel = channel_of({"idiot": 50, "the": 500, "moon": 40, "abba": 9, "aab": 7, "baab": 5})
+    rng = random.Random(2)
+    listed = {"".join(rng.choice("abioomndt") for _ in range(rng.randint(1, 9))) for _ in range(3000)} | {"idioot", "iidiott", "mmoonn", "aabb", "aa"}
+    listed = {w for w in listed if not re.search(r"(.)\1\1", w)}
+    assert [w for w in listed if channel.undoubled(w) != channel.decode(w)] == []
+
+
 def test_letter_counts(spark):
     texts = ["the idiot is a zebra", "the cat, слово!", None, ""]
     got = toxicity.letter_counts(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)]).repartition(3))
