@@ -412,7 +412,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = MO
     for f, k in seen.items():
         # Seen by chance a little less often in toxic texts, a little more often in clean ones.
         a, b = (k - 0.7 * math.sqrt(k)) / n_toxic, (others.get(at[f], 0) + 0.7 * math.sqrt(others.get(at[f], 0)) + 0.5) / n_clean
-        if (w := math.log(a / b)) > 0:
+        if (w := math.log(a / b)) > EVIDENCE:  # weaker ones are never looked at
             weights[f] = w
     model = Model(channel, weights, np.zeros(0), n_toxic / (n_toxic + n_clean))
 
