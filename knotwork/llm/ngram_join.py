@@ -31,7 +31,7 @@ FILTER = 1 << 26
 #: Classes in a block; each UNIT shingles of a class, begun ones too, count for one.
 BLOCK, UNIT = 256, 512
 #: Prefix shingles that are sent in one packet, about, and bytes of text for each bucket that receives them.
-SENT, BUCKET_BYTES = 1 << 21, 1 << 24
+SENT, BUCKET_BYTES = 1 << 20, 1 << 23
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _MANY = 0xFFFF  # stands for "several classes of this packet"
 
@@ -233,7 +233,7 @@ def postings(docs: DataFrame, ranks, words: int, percent: int) -> DataFrame:
     def run(batches):
         table_ = ranks.value
         for batch in batches:
-            for part in slices(batch, 1, 1 << 22):
+            for part in slices(batch, 1, 1 << 20):
                 hashes, of = shingle_sets(part.column(1).to_pylist(), words)
                 sizes, keys = np.bincount(of, minlength=part.num_rows), part.column(0).to_numpy()
                 starts, most = np.cumsum(sizes) - sizes, prefix_size(sizes, percent)
