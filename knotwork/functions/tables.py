@@ -40,6 +40,29 @@ ADDRESS_FILLER = "null na n a unit apt no number door h d hno dno ste fl c o co
 # French address words.
 ADDRESS_WORDS_FR = {"bis": "b", "ter": "t", "quater": "q", "crs": "cours", "rpt": "rondpoint", "rdpt": "rondpoint", "appartement": "apt", "appt": "apt", "app": "apt"}
 
+# Regions of France, each with its code, then the departments of each.
+_FR_REGIONS = {
+    "auvergne rhone alpes": "ara", "bourgogne franche comte": "bfc", "bretagne": "bre", "centre val de loire": "cvl", "centre": "cvl", "corse": "cor", "grand est": "ges", "hauts de france": "hdf", "ile de france": "idf", "normandie": "nor",
+    "nouvelle aquitaine": "naq", "occitanie": "occ", "pays de la loire": "pdl", "provence alpes cote d azur": "pac", "provence alpes cote dazur": "pac", "paca": "pac", "guadeloupe": "gua", "martinique": "mtq", "guyane": "guf",
+    "la reunion": "reu", "reunion": "reu", "mayotte": "myt",
+}
+_FR_DEPARTMENTS = {
+    "ara": "ain, allier, ardeche, cantal, drome, isere, loire, haute loire, puy de dome, rhone, savoie, haute savoie",
+    "bfc": "cote d or, cote dor, doubs, jura, nievre, haute saone, saone et loire, yonne, territoire de belfort",
+    "bre": "cotes d armor, cotes darmor, finistere, ille et vilaine, morbihan",
+    "cvl": "cher, eure et loir, indre, indre et loire, loir et cher, loiret",
+    "cor": "corse du sud, haute corse",
+    "ges": "ardennes, aube, marne, haute marne, meurthe et moselle, meuse, moselle, bas rhin, haut rhin, vosges",
+    "hdf": "aisne, nord, oise, pas de calais, somme",
+    "idf": "paris, seine et marne, yvelines, essonne, hauts de seine, seine saint denis, val de marne, val d oise, val doise",
+    "nor": "calvados, eure, manche, orne, seine maritime",
+    "naq": "charente, charente maritime, correze, creuse, dordogne, gironde, landes, lot et garonne, pyrenees atlantiques, deux sevres, vienne, haute vienne",
+    "occ": "ariege, aude, aveyron, gard, haute garonne, gers, herault, lot, lozere, hautes pyrenees, pyrenees orientales, tarn, tarn et garonne",
+    "pdl": "loire atlantique, maine et loire, mayenne, sarthe, vendee",
+    "pac": "alpes de haute provence, hautes alpes, alpes maritimes, bouches du rhone, var, vaucluse",
+}
+FR_AREAS = {k: f"frreg{v}" for k, v in _FR_REGIONS.items()} | {k: f"frreg{v}" for v, names in _FR_DEPARTMENTS.items() for k in names.split(", ")}
+
 # Digits that stand for letters.
 LEET_FROM, LEET_TO = "0123456789", "olzeasgtbg"
 

@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType
 from knotwork.functions import tables as T
 
 BLANK = ""
+# What stands for a missing address, names a trade name, is a web address, and is no part of a name at its ends.
 NULL_TEXT = r"<\s*null\s*>|\bn/a\b|\bnull\b|\bnone\b"
 DBA = r"\b(?:doing business as|d\s*/\s*b\s*/\s*a|d\.b\.a\.?|dba|trading as|t/a|a\.k\.a\.?|aka)\b"
 DOMAIN = r"^(?:https?://)?(?:www\.)?([a-z0-9\-]+)\.(?:com|in|net|org|co\.in|co|fr|biz|us|info|io)\b"
@@ -64,16 +65,66 @@ def stripped(text: Column) -> Column:
 
 
 def name_tokens(text: Column | str) -> Column:
-    """Junk at the ends off, m/s off, & and + as 'and', abbreviations joined, l' and d' off, apostrophes off, leet undone."""
+    """Junk at the ends off, m/s off, & and + as 'and', abbreviations of two letters or more joined, l' and d' off, apostrophes off, leet undone."""
     s = stripped(after_dba(text))
     s = F.when(domain_label(s) != BLANK, domain_label(s)).otherwise(s)
     s = F.regexp_replace(s, r"\bm\s*/\s*s\b", " ")
     s = F.regexp_replace(s, r"[&+]", " and ")
-    s = F.regexp_replace(F.regexp_replace(s, r"(?<=\b[a-z])\.(?=[a-z](?:\.|\b))", ""), r"(?<=[a-z]{2})\.(?=\s|$)", "")
+    # A dot goes where it is one of at least two that each follow a letter.
+    s = F.regexp_replace(s, r"(?<=[a-z])\.(?=[a-z]\.)|(?<=[a-z]\.[a-z])\.", "")
     s = F.replace(F.regexp_replace(s, r"\b[ld]'(?=[a-z])", ""), F.lit("'"), F.lit(""))
     return F.transform(words(s), leet)
 
 
+def has_indic(text: Column | str) -> Column:
+    return _c(text).rlike("[\u0900-\u0D7F]")
+
+
+def is_domain(text: Column | str) -> Column:
+    """Whether a text without a blank is a web address or starts with #."""
+    s = stripped(after_dba(text))
+    return ((domain_label(s) != BLANK) | _c(text).startswith("#")) & ~F.trim(_c(text)).contains(" ")
+
+
+def latin(text: Column | str) -> Column:
+    """Indic letters as Latin ones, letters without marks; one call into Python."""
+    return to_latin(_c(text))
+
+
+def french_area(text: Column | str) -> Column:
+    """An address whose comma-separated parts that are a region or department as a whole stand as the region's code."""
+    area = _map(T.FR_AREAS)
+    key = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.array_join(F.transform(F.split(_c(text), ","), lambda c: F.coalesce(F.element_at(area, key(c)), c)), ",")
+
+
+def french_address_tokens(tokens: Column) -> Column:
+    """French address words in short form, without apartment marks."""
+    short = _map(T.ADDRESS_WORDS_FR)
+    return F.filter(F.transform(tokens, lambda t: F.coalesce(F.element_at(short, t), t)), lambda t: t != "apt")
+
+
+def french_name_tokens(text: Column | str) -> Column:
+    """name_tokens after abbreviations were joined whether or not they end with a dot."""
+    s = F.lower(_c(text))
+    joined = F.regexp_replace(s, r"(?<=\b[a-z])\.(?=[a-z]\b)|(?<=\b[a-z]\.[a-z])\.(?![a-z])|(?<=\.[a-z])\.(?=[a-z]\b)|(?<=\.[a-z])\.", "")
+    return name_tokens(joined)
+
+
+# Words that a regex-only clean name leaves out.
+SUFFIXES = "inc incorporated llc corp corporation ltd limited pvt private gmbh sarl sa co company enterprises enterprise services service group holdings holding tech technologies technology intl international solutions solution traders trading store stores mart center centre p v t".split()
+
+
+def plain_name(text: Column | str) -> Column:
+    """Lower case, & and + as 'and', all but letters, digits, _ and blanks off, single blanks."""
+    s = F.regexp_replace(F.regexp_replace(F.lower(_c(text)), "[&+]", " and "), r"(?U)[^\w\s]", " ")
+    return F.trim(F.regexp_replace(s, r"\s+", " "))
+
+
+def without_suffixes(name: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(name, rf"\b(?:{'|'.join(SUFFIXES)})\b", ""), r"\s+", " "))
+
+
 def _map(d: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
 
@@ -160,3 +211,8 @@ def fold(s: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def transliterate(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else transliterate_text(t))
+
+
+@F.pandas_udf(StringType())
+def to_latin(s: pd.Series) -> pd.Series:
+    return s.map(lambda t: t if t is None or t.isascii() else fold_text(transliterate_text(t)))

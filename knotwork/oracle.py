@@ -13,6 +13,9 @@ def _map(d: dict[str, str]) -> str:
     return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in d.items()) + "}"
 
 
+DBA = r"\b(?:doing business as|d\s*/\s*b\s*/\s*a|d\.b\.a\.?|dba|trading as|t/a|a\.k\.a\.?|aka)\b"
+
+
 def leet(t: str) -> str:
     n = f"length(regexp_replace({t}, '[^0-9]', '', 'g'))"
     return f"CASE WHEN regexp_matches({t}, '[0-9]') AND regexp_matches({t}, '[^0-9]') AND {n} <= 2 AND length({t}) - {n} >= 4 THEN translate({t}, '{T.LEET_FROM}', '{T.LEET_TO}') ELSE {t} END"
@@ -56,7 +59,8 @@ CTES: dict[str, str] = {
     "toks": "SELECT doc_id, lang AS country, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents",
     "rec": "SELECT 'S' || (doc_id % 3 + 1) AS src, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS entity_id, doc_id, country, array_to_string(t[1:4], ' ') AS business_name, array_to_string(t[5:12], ' ') AS business_address FROM toks",
     "truth": "SELECT q.doc_id AS q_id, min(s.doc_id) AS s_id FROM rec q JOIN rec s USING (country, business_name, business_address) WHERE q.src <> 'S1' AND s.src = 'S1' GROUP BY 1",
-    "norm0": f"SELECT src, doc_id AS id, country, business_name, business_address, list_transform(list_filter(string_split(business_name, ' '), lambda x: x <> ''), lambda t: {leet('t')}) AS tokens, {address('business_address')} AS addr FROM rec",
+    "traded": f"SELECT *, CASE WHEN trim(r) <> '' THEN trim(r) ELSE business_name END AS trade FROM (SELECT *, regexp_extract(business_name, '(?s)^.*?{DBA}(.*)$', 1) AS r FROM rec)",
+    "norm0": f"SELECT src, doc_id AS id, country, business_name, business_address, starts_with(business_name, '#') AS is_domain, regexp_matches(business_name, '[\\x{{0900}}-\\x{{0D7F}}]') AS has_indic, trim(business_address) = '' AS addr_missing, list_transform(list_filter(string_split(trade, ' '), lambda x: x <> ''), lambda t: {leet('t')}) AS tokens, {address('business_address')} AS addr FROM traded",
     "norm": f"SELECT *, array_to_string({core('tokens')}, ' ') AS core, list_filter(addr, lambda t: regexp_matches(t, '^[0-9]+$')) AS numbers FROM norm0",
     "normg": "SELECT *, CASE WHEN length(x) < 3 THEN [] ELSE list_transform(range(1, length(x) - 1), lambda i: substr(x, i, 3)) END AS grams FROM (SELECT *, '<' || replace(core, ' ', '') || '>' AS x FROM norm)",
     "s1n": "SELECT * FROM normg WHERE src = 'S1'",

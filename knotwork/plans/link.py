@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from knotwork.functions import text as X
 from knotwork.operators import evaluation as E
 from knotwork.operators import retrieval as R
+from knotwork.plans.store import kept
 from knotwork.sources.records import er_records, sides
 
 #: Limits of the fixture's vocabulary; the defaults of tfidf() are those for whole catalogs.
@@ -16,18 +17,28 @@ THRESHOLD = 0.7
 
 
 def normalised(records: DataFrame) -> DataFrame:
-    """id, country, name tokens and core, address tokens and numbers."""
-    t = F.transform(F.filter(F.split("business_name", " "), lambda x: x != ""), X.leet)
-    rows = records.select("src", F.col("doc_id").alias("id"), "country", "business_name", "business_address", t.alias("tokens"), X.address_tokens("business_address").alias("addr"))
+    """id, country, name tokens and core, address tokens and numbers, and what is special about a record. Names and addresses are made Latin first."""
+    name, address = X.latin("business_name"), X.latin("business_address")
+    rows = records.select("src", F.col("doc_id").alias("id"), "country", "business_name", "business_address", X.is_domain("business_name").alias("is_domain"), X.has_indic("business_name").alias("has_indic"), (F.trim("business_address") == "").alias("addr_missing"), name.alias("__n"), address.alias("__a"))
+    rows = rows.select("*", X.name_tokens("__n").alias("tokens"), X.address_tokens("__a").alias("addr")).drop("__n", "__a")
     return rows.withColumn("core", F.array_join(X.core(F.col("tokens")), " ")).withColumn("numbers", X.numbers(F.col("addr")))
 
 
-def candidates(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
-    """q_id, s_id, country, cos_name, cos_addr, cos_comb, rank."""
-    s1, q = sides(normalised(er_records(spark, sf_dir)).withColumn("grams", R.name_grams(F.col("core"))))
-    names = R.cosines(s1, q, "grams", "cos_name", **LIMITS)
-    addresses = R.cosines(s1, q, "addr", "cos_addr", **LIMITS)
-    return R.ranked(R.combined(names, addresses), k)
+def normalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of an input under their normal forms, worked out once in a run."""
+    return kept(spark, sf_dir, "normalised", lambda: normalised(er_records(spark, sf_dir)))
+
+
+def candidates(spark: SparkSession, sf_dir: str, k: int = 10, limits: dict = LIMITS) -> DataFrame:
+    """q_id, s_id, country, cos_name, cos_addr, cos_comb, rank; worked out once in a run."""
+
+    def build() -> DataFrame:
+        s1, q = sides(normalised_records(spark, sf_dir).withColumn("grams", R.name_grams(F.col("core"))))
+        names = R.cosines(s1, q, "grams", "cos_name", **limits)
+        addresses = R.cosines(s1, q, "addr", "cos_addr", **limits)
+        return R.ranked(R.combined(names, addresses), k)
+
+    return kept(spark, sf_dir, f"candidates-{k}-{'-'.join(map(str, limits.values()))}", build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def _long(c: Column | str) -> Column:
 
 
 def _norm(spark: SparkSession, d: str) -> DataFrame:
-    return L.normalised(src.er_records(spark, d))
+    return L.normalised_records(spark, d)
 
 
 def _sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -385,7 +385,8 @@ def fuzzy_features(spark, d):
 
 @query()
 def role_features(spark, d):
-    return _pairs(spark, d).select("q_id", "s_id", roles.role_features("qname", "qa", "sname", "sa").alias("r")).select("q_id", "s_id", "r.*")
+    p = _pairs(spark, d).select("q_id", "s_id", roles.role_features("qname", "sname", "qa", "sa", "qc", "sc", _joined("qad"), _joined("sad")).alias("r"))
+    return p.select("q_id", "s_id", "r.*")
 
 
 @query()
