@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-#: The linkage chain's headline stages; the edit-based features (Python, quadratic in the text for partial ratios) are too slow to be among them yet. Each is written out in full to a sink that keeps nothing.
-HEADLINE = ["er_records", "name_core", "addr_tokens", "block_union", "rare_token_block", "tfidf_name", "retrieve_topk", "query_context", "token_set_features", "number_features", "direct_features", "top3", "expected_f05", "macro_f05", "write_grouped"]
+#: The linkage chain's headline stages, each written out in full to a sink that keeps nothing. Normal forms and candidates are worked out once in a run, by the first stage that needs them.
+HEADLINE = ["er_records", "name_core", "addr_tokens", "block_union", "rare_token_block", "tfidf_name", "retrieve_topk", "query_context", "token_set_features", "number_features", "direct_features", "group_features", "jaro_winkler", "fuzzy_features", "role_features", "sibling_likeness", "top3", "expected_f05", "macro_f05", "paired_bootstrap", "write_grouped"]
 
 
 def main() -> None:
@@ -19,9 +21,10 @@ def main() -> None:
     from knotwork.queries import QUERIES
 
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
+    shared = tempfile.mkdtemp(prefix="bench-")  # one machine
     spark = (
         SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.driver.memory", "8g").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        .config("spark.sql.shuffle.partitions", cpus).config("spark.sql.session.timeZone", "UTC").config("spark.checkpoint.dir", f"file://{shared}").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("sum(length(text))").collect()
@@ -32,6 +35,7 @@ def main() -> None:
         took[name] = round(time.time() - began, 3)
     print(json.dumps({"metric": "linkage_total", "value": round(sum(took.values()), 3), "unit": "sec", "queries": took, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
+    shutil.rmtree(shared, ignore_errors=True)
 
 
 if __name__ == "__main__":

@@ -106,8 +106,7 @@ def french_address_tokens(tokens: Column) -> Column:
 
 def french_name_tokens(text: Column | str) -> Column:
     """name_tokens after abbreviations were joined whether or not they end with a dot."""
-    s = F.lower(_c(text))
-    joined = F.regexp_replace(s, r"(?<=\b[a-z])\.(?=[a-z]\b)|(?<=\b[a-z]\.[a-z])\.(?![a-z])|(?<=\.[a-z])\.(?=[a-z]\b)|(?<=\.[a-z])\.", "")
+    joined = F.regexp_replace(F.lower(_c(text)), r"(?<=\b[a-z])\.(?=[a-z]\b)|(?<=\b[a-z]\.[a-z])\.", "")
     return name_tokens(joined)
 
 

@@ -61,3 +61,48 @@ def equal_key_pairs(catalog: DataFrame, queries: DataFrame, *keys: str) -> DataF
     """Pairs of one country with equal keys that aren't empty."""
     filled = lambda d, to: d.where(" AND ".join(f"{k} <> ''" for k in keys)).select(F.col("id").alias(to), "country", *keys)
     return filled(queries, "q_id").join(filled(catalog, "s_id"), ["country", *keys]).select("q_id", "s_id")
+
+
+def word_grams(tokens: Column) -> Column:
+    """Single words and runs of two, with repeats."""
+    n = F.size(tokens)
+    two = F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: F.array_join(F.slice(tokens, i + 1, F.lit(2)), " "))
+    return F.concat(tokens, F.when(n < 2, F.array().cast("array<string>")).otherwise(two))
+
+
+def bounded_grams(tokens: Column, low: int = 3, high: int = 4) -> Column:
+    """Runs of `low` to `high` characters inside each word between blanks, with repeats; a shorter word between blanks as a whole."""
+
+    def runs(word: Column, k: int) -> Column:
+        at = F.sequence(F.lit(1), F.greatest(F.length(word) - (k - 1), F.lit(1)))
+        return F.when(F.length(word) < k, F.array().cast("array<string>")).otherwise(F.transform(at, lambda i: F.substring(word, i, F.lit(k))))
+
+    def one(t: Column) -> Column:
+        word = F.concat(F.lit(" "), t, F.lit(" "))
+        return F.when(F.length(word) < low, F.array(word)).otherwise(F.concat(*(runs(word, k) for k in range(low, high + 1))))
+
+    return F.flatten(F.transform(tokens, one))
+
+
+def global_topk(index: DataFrame, queries: DataFrame, terms: str, k: int, min_df: int, max_df: float) -> DataFrame:
+    """(q_id, s_id, cos, rank): the k most alike rows of the index for each query of its country; weights are counted over the whole index, whatever the country."""
+    tf = lambda d: d.select("id", "country", F.explode(terms).alias("term")).groupBy("id", "country", "term").agg(F.count("*").alias("tf"))
+    s = tf(index)
+    n = index.agg(F.count("*").alias("n"))
+    df = s.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n)).where((F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n")))  # n is one row
+    idf = df.select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
+
+    def weights(side: DataFrame) -> DataFrame:
+        raw = side.join(idf, "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
+        return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).select("id", "country", "term", "w")
+
+    a, b = weights(tf(queries)), weights(s)
+    pairs = a.select(F.col("id").alias("s_id"), "country", "term", F.col("w").alias("wa")).join(b.select(F.col("id").alias("q_id"), "country", "term", F.col("w").alias("wb")), ["country", "term"])
+    cos = pairs.groupBy("s_id", "q_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cos"))
+    order = W.partitionBy("s_id").orderBy(F.col("cos").desc(), "q_id")
+    return cos.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+
+
+def patched(old: DataFrame, fresh: DataFrame, renewed: DataFrame) -> DataFrame:
+    """The old candidates with those of the queries in `renewed` (q_id) taken out and the fresh ones of these queries put in."""
+    return old.join(renewed, "q_id", "left_anti").unionByName(fresh.join(renewed, "q_id", "left_semi").select(old.columns))

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from knotwork.functions import similarity as S
 from knotwork.functions import text as X
+from knotwork.operators import dictionary as D
 from knotwork.operators import evaluation as E
+from knotwork.operators import features as P
 from knotwork.operators import retrieval as R
 from knotwork.operators import roles
-from knotwork.oracle import address, core, leet, null_text, sql
+from knotwork.oracle import address, core, leet, null_text, sql, weighted
 from knotwork.plans import link as L
 from knotwork.sources import records as src
 
@@ -131,19 +133,15 @@ def match_distribution(spark, d):
     return s1.select(F.col("id").alias("s_id")).join(m, "s_id", "left").groupBy(F.coalesce("m", F.lit(0)).alias("matches")).agg(F.count("*").alias("entities"))
 
 
-_DICT = "SELECT a, b, count(*) AS n FROM (SELECT unnest(a) AS a, unnest(b) AS b FROM (SELECT q.tokens AS a, s.tokens AS b FROM scored c JOIN qn q ON q.id = c.q_id JOIN s1n s ON s.id = c.s_id WHERE c.rank = 1 AND len(q.tokens) = len(s.tokens))) GROUP BY ALL"
-_DICT_BEST = f"SELECT a, b, n FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS total, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM ({_DICT})) WHERE r = 1 AND a <> b AND n >= 2 AND n >= 0.6 * total"
+# The fixture's true links have equal names and no Indic script, so the dictionary is learned from first candidates of training entities there.
+_TRAIN = "SELECT q_id, s_id FROM cand WHERE rank = 1 AND s_id % 5 >= 2"
+_DICT = f"SELECT a, b, count(*) AS n FROM (SELECT unnest(q.tokens) AS a, unnest(s.tokens) AS b FROM ({_TRAIN}) c JOIN qn q ON q.id = c.q_id JOIN s1n s ON s.id = c.s_id WHERE len(q.tokens) = len(s.tokens)) GROUP BY ALL"
+_DICT_BEST = f"SELECT a, b, n FROM (SELECT *, sum(n) OVER (PARTITION BY a) AS total, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM ({_DICT})) WHERE r = 1 AND a <> b AND n >= 3 AND n >= 0.6 * total"
 
 
-def _dictionary(spark, d, least: int = 2, share: float = 0.6) -> DataFrame:
-    """Token a is written b: aligned by place in names of equal length of records and their first candidates."""
+def _dictionary(spark, d) -> DataFrame:
     s1, q = _sides(spark, d)
-    best = L.candidates(spark, d).where("rank = 1").select("q_id", "s_id")
-    both = best.join(q.select(F.col("id").alias("q_id"), F.col("tokens").alias("x")), "q_id").join(s1.select(F.col("id").alias("s_id"), F.col("tokens").alias("y")), "s_id").where(F.size("x") == F.size("y"))
-    counts = both.select(F.explode(F.arrays_zip("x", "y")).alias("p")).groupBy(F.col("p.x").alias("a"), F.col("p.y").alias("b")).agg(F.count("*").alias("n"))
-    own = W.partitionBy("a")
-    ranked = counts.withColumn("total", F.sum("n").over(own)).withColumn("r", F.row_number().over(own.orderBy(F.desc("n"), "b")))
-    return ranked.where((F.col("r") == 1) & (F.col("a") != F.col("b")) & (F.col("n") >= least) & (F.col("n") >= share * F.col("total"))).select("a", "b", "n")
+    return D.learned(L.candidates(spark, d).where("rank = 1 AND s_id % 5 >= 2"), q, s1)
 
 
 @query(_DICT_BEST)
@@ -154,16 +152,20 @@ def token_dictionary(spark, d):
 @query(f"SELECT id, array_to_string(list(coalesce(b, w) ORDER BY i), ' ') AS name FROM (SELECT id, unnest(tokens) AS w, generate_subscripts(tokens, 1) AS i FROM qn) LEFT JOIN ({_DICT_BEST}) ON a = w GROUP BY id")
 def apply_dictionary(spark, d):
     _, q = _sides(spark, d)
-    words = q.select("id", F.posexplode("tokens").alias("i", "w")).join(_dictionary(spark, d), F.col("w") == F.col("a"), "left")
-    return words.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("b", "w").alias("t")))), lambda x: x["t"]), " ").alias("name"))
+    return D.applied(q, _dictionary(spark, d)).where(F.size("tokens") > 0).select("id", _joined("tokens").alias("name"))
 
 
-@query("SELECT country, token, n FROM (SELECT *, row_number() OVER (PARTITION BY country ORDER BY n DESC, token) AS r FROM (SELECT country, token, count(*) AS n FROM (SELECT q.country, unnest(list_filter(list_distinct(q.addr), lambda x: NOT list_contains(s.addr, x))) AS token FROM pred p JOIN qn q ON q.id = p.q_id JOIN s1n s ON s.id = p.s_id) GROUP BY ALL)) WHERE r <= 28")
+def _noise_sql(field: str, column: str) -> str:
+    links = "SELECT q_id, s_id FROM top3 WHERE p1 >= 0.6"
+    one = lambda side, a, b: f"SELECT '{field}' AS field, '{side}' AS side, q.country, unnest(list_filter(list_distinct({a}.{column}), lambda x: NOT list_contains({b}.{column}, x))) AS token FROM ({links}) p JOIN qn q ON q.id = p.q_id JOIN s1n s ON s.id = p.s_id"
+    return f"{one('q_only', 'q', 's')} UNION ALL {one('s_only', 's', 'q')}"
+
+
+@query(f"SELECT field, side, country, token, n, round(n / links, 6) AS rate FROM (SELECT *, row_number() OVER (PARTITION BY field, side, country ORDER BY n DESC, token) AS r FROM (SELECT field, side, country, token, count(*) AS n FROM ({_noise_sql('name', 'tokens')} UNION ALL {_noise_sql('addr', 'addr')}) GROUP BY ALL)) JOIN (SELECT country, count(*) AS links FROM top3 JOIN qn ON qn.id = q_id WHERE p1 >= 0.6 GROUP BY country) USING (country) WHERE r <= 28")
 def mine_noise_tokens(spark, d):
+    """On the fixture links from 0.6 on; its sure ones hardly differ."""
     s1, q = _sides(spark, d)
-    p = L.linked_pairs(spark, d).join(q.select(F.col("id").alias("q_id"), "country", F.col("addr").alias("x")), "q_id").join(s1.select(F.col("id").alias("s_id"), F.col("addr").alias("y")), "s_id")
-    counts = p.select("country", F.explode(F.array_except("x", "y")).alias("token")).groupBy("country", "token").agg(F.count("*").alias("n"))
-    return counts.withColumn("r", F.row_number().over(W.partitionBy("country").orderBy(F.desc("n"), "token"))).where("r <= 28").drop("r")
+    return D.noise(L.linked_pairs(spark, d, 0.6), q, s1)
 
 
 # ---- candidates -------------------------------------------------------------------------------------------------------
@@ -269,8 +271,10 @@ def drop_and_rerank(spark, d):
 
 def _pairs(spark, d) -> DataFrame:
     s1, q = _sides(spark, d)
-    side = lambda x, p, i: x.select(F.col("id").alias(i), F.col("core").alias(f"{p}c"), F.col("business_name").alias(f"{p}name"), F.col("business_address").alias(f"{p}a"), F.col("tokens").alias(f"{p}t"), F.col("addr").alias(f"{p}ad"), F.col("numbers").alias(f"{p}num"))
-    return L.candidates(spark, d).select("q_id", "s_id").join(side(q, "q", "q_id"), "q_id").join(side(s1, "s", "s_id"), "s_id")
+    s1, q = (x.withColumn("ctok", X.core(F.col("tokens"))).withColumn("alpha", F.filter("addr", lambda t: t.rlike("^[a-z]{2,}$"))) for x in (s1, q))
+    names = {"core": "c", "business_name": "name", "business_address": "a", "tokens": "t", "addr": "ad", "numbers": "num", "ctok": "ct", "alpha": "al"}
+    side = lambda x, p, *more: x.select(F.col("id").alias(f"{p}_id"), *(F.col(c).alias(p + n) for c, n in names.items()), *more)
+    return L.candidates(spark, d).join(side(q, "q", F.col("src").alias("qsrc"), "is_domain", "has_indic", "addr_missing"), "q_id").join(side(s1, "s"), "s_id")
 
 
 @query("SELECT q_id, s_id, count(*) OVER q AS n_cands, max(cos_comb) OVER q AS comb_max, round(cos_comb - coalesce(CASE WHEN rank = 1 THEN max(CASE WHEN rank = 2 THEN cos_comb END) OVER q ELSE max(cos_comb) OVER q END, 0.0), 7) AS comb_gap, round(cos_comb - coalesce(lead(cos_comb) OVER (PARTITION BY q_id ORDER BY rank), 0.0), 7) AS gap_next, round(cos_name - max(cos_name) OVER q, 6) AS name_gap, round(cos_addr - max(cos_addr) OVER q, 6) AS addr_gap FROM cand WINDOW q AS (PARTITION BY q_id)")
@@ -292,13 +296,13 @@ def token_set_features(spark, d):
     return _pairs(spark, d).select("q_id", "s_id", _long(inter).alias("tok_inter"), share(F.size(F.array_union("qt", "st"))).alias("tok_jacc"), share(F.size(F.array_distinct("qt"))).alias("tok_q_cov"), share(F.size(F.array_distinct("st"))).alias("tok_s_cov"), F.coalesce(F.get("qt", F.lit(0)) == F.get("st", F.lit(0)), F.lit(False)).alias("first_tok_eq"), (F.col("qc") == F.col("sc")).alias("nm_exact"), (key("qc") == key("sc")).alias("key_exact"))
 
 
-@query("SELECT q_id, s_id, len(qnum)::BIGINT AS num_q, len(snum)::BIGINT AS num_s, len(list_intersect(qnum, snum))::BIGINT AS num_inter, coalesce(qnum[1] = snum[1], false) AS num_first_eq, len(qnum) > 0 AND len(snum) > 0 AND len(list_intersect(qnum, snum)) = 0 AS num_conflict, coalesce(round(abs(try_cast(qnum[1] AS DOUBLE) - try_cast(snum[1] AS DOUBLE)) / greatest(try_cast(qnum[1] AS DOUBLE), try_cast(snum[1] AS DOUBLE), 1.0), 6), -1.0) AS num_rel_diff FROM pairs")
+@query("SELECT q_id, s_id, len(list_distinct(qnum))::BIGINT AS num_q, len(list_distinct(snum))::BIGINT AS num_s, len(list_intersect(qnum, snum))::BIGINT AS num_inter, coalesce(qnum[1] = snum[1], false) AS num_first_eq, len(qnum) > 0 AND len(snum) > 0 AND len(list_intersect(qnum, snum)) = 0 AS num_conflict, coalesce(round(abs(try_cast(qnum[1] AS DOUBLE) - try_cast(snum[1] AS DOUBLE)) / greatest(try_cast(qnum[1] AS DOUBLE), try_cast(snum[1] AS DOUBLE), 1.0), 6), -1.0) AS num_rel_diff FROM pairs")
 def number_features(spark, d):
     a, b = (F.get(c, F.lit(0)) for c in ("qnum", "snum"))
     x, y = (c.try_cast("double") for c in (a, b))
     inter = F.size(F.array_intersect("qnum", "snum"))
     diff = F.when(x.isNotNull() & y.isNotNull(), F.round(F.abs(x - y) / F.greatest(x, y, F.lit(1.0)), 6))
-    return _pairs(spark, d).select("q_id", "s_id", _long(F.size("qnum")).alias("num_q"), _long(F.size("snum")).alias("num_s"), _long(inter).alias("num_inter"), F.coalesce(a == b, F.lit(False)).alias("num_first_eq"), ((F.size("qnum") > 0) & (F.size("snum") > 0) & (inter == 0)).alias("num_conflict"), F.coalesce(diff, F.lit(-1.0)).alias("num_rel_diff"))
+    return _pairs(spark, d).select("q_id", "s_id", _long(F.size(F.array_distinct("qnum"))).alias("num_q"), _long(F.size(F.array_distinct("snum"))).alias("num_s"), _long(inter).alias("num_inter"), F.coalesce(a == b, F.lit(False)).alias("num_first_eq"), ((F.size("qnum") > 0) & (F.size("snum") > 0) & (inter == 0)).alias("num_conflict"), F.coalesce(diff, F.lit(-1.0)).alias("num_rel_diff"))
 
 
 @query("SELECT id AS s_id, count(*) OVER (PARTITION BY country, core) AS s1_name_dup FROM s1n")
@@ -312,44 +316,58 @@ def rank1_degree(spark, d):
     return L.candidates(spark, d).where("rank = 1").groupBy("s_id").agg(F.count("*").alias("s1_rank1_deg"))
 
 
-@query("SELECT q_id, s_id, round(x - CASE WHEN r = 1 THEN coalesce(second, 0.0) ELSE first END, 6) AS m_cos_name, ties AS n_name_ties FROM (SELECT *, max(x) OVER q AS first, max(CASE WHEN r = 2 THEN x END) OVER q AS second, sum((x >= 0.95 * mx)::INT) OVER q::BIGINT AS ties FROM (SELECT q_id, s_id, cos_name AS x, max(cos_name) OVER (PARTITION BY q_id) AS mx, row_number() OVER (PARTITION BY q_id ORDER BY cos_name DESC, s_id) AS r FROM cand) WINDOW q AS (PARTITION BY q_id))")
-def margins(spark, d):
-    q = W.partitionBy("q_id")
-    x = F.col("cos_name")
-    c = L.candidates(spark, d).withColumn("r", F.row_number().over(q.orderBy(x.desc(), "s_id")))
-    second = F.coalesce(F.max(F.when(F.col("r") == 2, x)).over(q), F.lit(0.0))
-    c = c.withColumn("first", F.max(x).over(q)).withColumn("m", F.round(x - F.when(F.col("r") == 1, second).otherwise(F.col("first")), 6))
-    return c.select("q_id", "s_id", F.col("m").alias("m_cos_name"), F.sum((x >= 0.95 * F.col("first")).cast("int")).over(q).alias("n_name_ties"))
+def _margin_sql(x: str) -> str:
+    return f"round(coalesce(CASE WHEN {x} = max({x}) OVER q THEN {x} - list({x} ORDER BY {x} DESC) OVER q[2] ELSE {x} - max({x}) OVER q END, {x}), 6) AS m_{x}".replace("OVER q[2]", "OVER (PARTITION BY q_id)").replace(f"list({x} ORDER BY {x} DESC) OVER (PARTITION BY q_id)", f"(list_reverse_sort(list({x}) OVER q))[2]")
 
 
-_IDF = "SELECT country, token, round(greatest(least(ln(n) - ln(1 + df), 12.0), 0.0), 6) AS idf FROM (SELECT country, token, count(*) AS df FROM (SELECT country, unnest(list_distinct(tokens)) AS token FROM s1n) GROUP BY ALL) JOIN (SELECT country, count(*) AS n FROM s1n GROUP BY ALL) USING (country)"
+_COV = "round(len(list_intersect(qnum, snum)) / greatest(len(list_distinct(qnum)), 1), 6)"
 
 
-def _idf(s1: DataFrame) -> DataFrame:
-    df = s1.select("country", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("country", "token").agg(F.count("*").alias("df"))
-    n = s1.groupBy("country").agg(F.count("*").alias("n"))
-    return df.join(n, "country").select("country", "token", F.round(F.greatest(F.least(F.log("n") - F.log(1 + F.col("df")), F.lit(12.0)), F.lit(0.0)), 6).alias("idf"))
+@query(f"SELECT q_id, s_id, {_margin_sql('cos_name')}, {_margin_sql('cos_addr')}, {_margin_sql('num_q_cov')}, sum((cos_name >= 0.95 * mx)::INT) OVER q::BIGINT AS n_name_ties FROM (SELECT q_id, s_id, cos_name, cos_addr, {_COV} AS num_q_cov, max(cos_name) OVER (PARTITION BY q_id) AS mx FROM pairs) WINDOW q AS (PARTITION BY q_id)")
+def margins(spark, d):
+    p = _pairs(spark, d).select("q_id", "s_id", "cos_name", "cos_addr", P.number_coverage())
+    p = p.withColumn("near", (F.col("cos_name") >= 0.95 * F.max("cos_name").over(W.partitionBy("q_id"))).cast("long"))
+    return p.select("q_id", "s_id", *(P.margin(x).alias(f"m_{x}") for x in ("cos_name", "cos_addr", "num_q_cov")), F.sum("near").over(W.partitionBy("q_id")).alias("n_name_ties"))
 
 
-@query(_IDF)
+@query("SELECT * FROM idfn")
 def idf_catalog(spark, d):
-    return _idf(_sides(spark, d)[0])
+    return P.idf(_sides(spark, d)[0].withColumn("ctok", X.core(F.col("tokens"))), "ctok")
+
+
+_DIRECT = f"""SELECT p.q_id, p.s_id, coalesce(round(n.sh / greatest(n.qs, 1e-6), 6), 0.0) AS nm_wcov_q, coalesce(round(n.sh / greatest(n.ss, 1e-6), 6), 0.0) AS nm_wcov_s, coalesce(n.qo, 0.0) AS nm_qonly_idf_max, coalesce(n.so, 0.0) AS nm_sonly_idf_max, coalesce(round(n.sh, 6), 0.0) AS nm_shared_idf,
+coalesce(round(a.sh / greatest(a.qs, 1e-6), 6), 0.0) AS ad_wcov_q, coalesce(a.qo, 0.0) AS ad_qonly_idf_max, coalesce(a.qr, 0) AS ad_qonly_n_rare, coalesce(round(a.sh, 6), 0.0) AS ad_shared_idf,
+coalesce(qnum[1]::BIGINT = snum[1]::BIGINT, false) AS prem_eq, coalesce(list_contains(list_transform(snum, lambda x: x::BIGINT), qnum[1]::BIGINT), false) AS prem_in_s, coalesce(list_contains(list_transform(qnum, lambda x: x::BIGINT), snum[1]::BIGINT), false) AS s_prem_in_q, len(list_filter(qnum, lambda x: NOT list_contains(list_transform(snum, lambda y: y::BIGINT), x::BIGINT))) = 0 AS q_nums_subset,
+coalesce(round(abs(qnum[1]::DOUBLE - snum[1]::DOUBLE) / greatest(qnum[1]::DOUBLE, snum[1]::DOUBLE, 1.0), 6), -1.0) AS prem_close, lower(trim(qname)) = lower(trim(sname)) AS raw_name_eq, lower(trim(qa)) = lower(trim(sa)) AS raw_addr_eq
+FROM pairs p LEFT JOIN ({weighted('qct', 'sct', 'idfn')}) n USING (q_id, s_id) LEFT JOIN ({weighted('qal', 'sal', 'idfa')}) a USING (q_id, s_id)"""
 
 
-@query(f"SELECT q_id, s_id, round(sum(CASE WHEN shared THEN idf ELSE 0 END) / greatest(sum(idf), 1e-9), 6) AS nm_wcov_q, coalesce(max(CASE WHEN NOT shared THEN idf END), 0.0) AS nm_qonly_idf_max, round(sum(CASE WHEN shared THEN idf ELSE 0 END), 6) AS nm_shared_idf, sum((NOT shared AND idf >= 2)::INT)::BIGINT AS nm_qonly_n_rare FROM (SELECT q_id, s_id, country, token, list_contains(st, token) AS shared, coalesce(i.idf, 12.0) AS idf FROM (SELECT q_id, s_id, st, c.country, unnest(list_distinct(qt)) AS token FROM pairs JOIN cand c USING (q_id, s_id)) LEFT JOIN ({_IDF}) i USING (country, token)) GROUP BY q_id, s_id")
+@query(_DIRECT)
 def direct_features(spark, d):
-    s1, _ = _sides(spark, d)
-    t = _pairs(spark, d).join(L.candidates(spark, d).select("q_id", "s_id", "country"), ["q_id", "s_id"]).select("q_id", "s_id", "country", "st", F.explode(F.array_distinct("qt")).alias("token"))
-    t = t.join(_idf(s1), ["country", "token"], "left").withColumn("idf", F.coalesce("idf", F.lit(12.0))).withColumn("shared", F.array_contains("st", F.col("token")))
-    hit = F.sum(F.when(F.col("shared"), F.col("idf")).otherwise(0.0))
-    return t.groupBy("q_id", "s_id").agg(F.round(hit / F.greatest(F.sum("idf"), F.lit(1e-9)), 6).alias("nm_wcov_q"), F.coalesce(F.max(F.when(~F.col("shared"), F.col("idf"))), F.lit(0.0)).alias("nm_qonly_idf_max"), F.round(hit, 6).alias("nm_shared_idf"), F.count_if(~F.col("shared") & (F.col("idf") >= 2)).alias("nm_qonly_n_rare"))
+    s1 = _sides(spark, d)[0].withColumn("ctok", X.core(F.col("tokens"))).withColumn("alpha", F.filter("addr", lambda t: t.rlike("^[a-z]{2,}$")))
+    return P.direct(_pairs(spark, d), s1)
+
+
+def _support(tag: str, keys: str, none: str) -> str:
+    w = f"(PARTITION BY s_id, {keys})"
+    return f"CASE WHEN {none} THEN -1 ELSE count(*) OVER {w} - 1 END AS sup_{tag}_all, CASE WHEN {none} THEN -1 ELSE sum(conf) OVER {w}::BIGINT - conf END AS sup_{tag}_conf"
+
+
+_GROUP = f"SELECT *, round(sup_nums_conf / greatest(g_conf, 1), 6) AS sup_nums_frac, round(sup_name_conf / greatest(g_conf, 1), 6) AS sup_name_frac FROM (SELECT q_id, s_id, count(*) OVER s - 1 AS g_all, sum(conf) OVER s::BIGINT - conf AS g_conf, round(sum(p1) OVER s - p1, 6) AS g_psum, {_support('nums', 'nums', 'nums = ' + chr(39) * 2)}, {_support('num1', 'num1', 'nums = ' + chr(39) * 2)}, {_support('name', 'nkey', 'false')}, {_support('both', 'nums, nkey', 'nums = ' + chr(39) * 2)} FROM sib WINDOW s AS (PARTITION BY s_id))"
+
 
+def _siblings(spark, d) -> DataFrame:
+    return P.siblings(E.top3(L.scored(spark, d)), _sides(spark, d)[1])
 
-@query("SELECT q_id, s_id, n - 1 AS siblings, c - (p1 >= 0.5)::INT AS confident_siblings, round(t - p1, 6) AS sibling_p FROM (SELECT *, count(*) OVER s AS n, sum((p1 >= 0.5)::INT) OVER s::BIGINT AS c, sum(p1) OVER s AS t FROM top3 WINDOW s AS (PARTITION BY s_id))")
+
+@query(_GROUP)
 def group_features(spark, d):
-    s = W.partitionBy("s_id")
-    sure = (F.col("p1") >= 0.5).cast("long")
-    return E.top3(L.scored(spark, d)).select("q_id", "s_id", (F.count("*").over(s) - 1).alias("siblings"), (F.sum(sure).over(s) - sure).alias("confident_siblings"), F.round(F.sum("p1").over(s) - F.col("p1"), 6).alias("sibling_p"))
+    return _siblings(spark, d)
+
+
+@query()
+def sibling_likeness(spark, d):
+    return P.fuzzy_siblings(E.top3(L.scored(spark, d)), _sides(spark, d)[1])
 
 
 @query("SELECT q_id, s_id, qname = sname AS name_exact, qa = sa AS addr_exact, round(CASE WHEN len(qad) = 0 OR len(sad) = 0 THEN 0.0 ELSE len(list_intersect(qad, sad)) / len(list_distinct(list_concat(qad, sad))) END, 6) AS addr_jacc, round(least(length(qname), length(sname)) / greatest(length(qname), length(sname), 1), 6) AS len_ratio, abs(length(qname) - length(sname))::BIGINT AS len_diff, qa = '' AS q_addr_missing, sa = '' AS s_addr_missing FROM pairs")
@@ -377,10 +395,14 @@ def jaro_winkler(spark, d):
     return _pairs(spark, d).select("q_id", "s_id", F.round(S.jaro_winkler_udf("qname", "sname"), 6).alias("jw"))
 
 
+def _edits() -> Column:
+    return P.edits("qc", "sc", _joined("qt"), _joined("st"), _joined("qad"), _joined("sad")).alias("e")
+
+
 @query()
 def fuzzy_features(spark, d):
-    p = _pairs(spark, d)
-    return p.select("q_id", "s_id", *(F.round(u(a, b), 6).alias(n) for n, u, a, b in (("nm_ratio", S.ratio_udf, "qc", "sc"), ("nm_tsort", S.token_sort_udf, "qc", "sc"), ("nm_tset", S.token_set_udf, "qc", "sc"), ("nm_partial", S.partial_udf, "qc", "sc"), ("ad_ratio", S.ratio_udf, "qa", "sa"), ("ad_tset", S.token_set_udf, "qa", "sa"))))
+    e = _pairs(spark, d).select("q_id", "s_id", _edits()).select("q_id", "s_id", "e.*")
+    return e.select("q_id", "s_id", *(F.round(n, 6).alias(n) for n in P.EDITS), *(P.margin(x).alias(f"m_{x}") for x in ("nm_tset", "full_ratio", "ad_tset")))
 
 
 @query()
@@ -416,16 +438,17 @@ def assign_threshold(spark, d):
 _EF = "SELECT *, count(*) OVER o AS m, sum(p) OVER o AS got, sum(p) OVER s AS tot, exp(sum(ln(greatest(1 - p, 1e-9))) OVER s) AS none FROM scored WHERE p >= 0.02 WINDOW s AS (PARTITION BY s_id), o AS (PARTITION BY s_id ORDER BY p DESC, q_id ROWS UNBOUNDED PRECEDING)"
 
 
-@query(f"SELECT e.q_id, e.s_id, e.p FROM ({_EF}) e JOIN (SELECT s_id, arg_max(m, (round(1.25 * got / (0.25 * tot + m), 9), -m)) AS keep, max(round(1.25 * got / (0.25 * tot + m), 9)) AS ef, max(none) AS none FROM ({_EF}) GROUP BY s_id) b USING (s_id) WHERE b.ef > b.none AND e.m <= b.keep")
+@query(f"SELECT e.q_id, e.s_id, e.p FROM ({_EF}) e JOIN (SELECT s_id, arg_max(m, (round(1.25 * got / (0.25 * tot + m), 9), -m)) AS keep, max(round(1.25 * got / (0.25 * tot + m), 9)) AS ef, max(none) AS none FROM ({_EF}) GROUP BY s_id) b USING (s_id) WHERE b.ef > b.none AND e.m <= b.keep AND e.p >= 0.5")
 def expected_f05(spark, d):
     return E.expected_f_subset(L.scored(spark, d))
 
 
-@query("SELECT t.q_id, t.s_id, CASE WHEN t.p1 < 0.75 AND count(*) OVER (PARTITION BY t.s_id) > 1 AND len(p.qnum) > 0 AND len(p.snum) > 0 AND len(list_intersect(p.qnum, p.snum)) = 0 THEN 0.0 ELSE t.p1 END AS p FROM top3 t JOIN pairs p USING (q_id, s_id)")
+_CONFLICT = "len(qnum) > 0 AND len(snum) > 0 AND len(list_intersect(qnum, snum)) = 0"
+
+
+@query(f"SELECT t.q_id, t.s_id, CASE WHEN {_CONFLICT} AND g.sup_nums_all >= 1 AND t.p1 < 0.1 THEN 0.0 ELSE t.p1 END AS p FROM top3 t JOIN pairs p USING (q_id, s_id) JOIN ({_GROUP}) g USING (q_id, s_id)")
 def conflict_guard(spark, d):
-    t = E.top3(L.scored(spark, d)).join(_pairs(spark, d).select("q_id", "s_id", "qnum", "snum"), ["q_id", "s_id"])
-    conflict = (F.size("qnum") > 0) & (F.size("snum") > 0) & (F.size(F.array_intersect("qnum", "snum")) == 0)
-    return t.select("q_id", "s_id", F.when((F.col("p1") < 0.75) & (F.count("*").over(W.partitionBy("s_id")) > 1) & conflict, 0.0).otherwise(F.col("p1")).alias("p"))
+    return E.guarded(E.top3(L.scored(spark, d)), _pairs(spark, d).withColumn("num_conflict", P.conflict()), _siblings(spark, d))
 
 
 # ---- evaluation -------------------------------------------------------------------------------------------------------
@@ -569,9 +592,24 @@ def write_grouped(spark, d):
     return src.grouped(s1, pairs.select("s1_id", F.col("q").alias("q_id")))
 
 
-@query("SELECT 'extra_entity' AS rule, sum((s.doc_id IS NULL)::INT)::BIGINT AS n FROM (SELECT 'S2-1' AS id) b LEFT JOIN rec s ON s.entity_id = b.id AND s.src = 'S1' UNION ALL SELECT 'repeated_id', 0 UNION ALL SELECT 'self_match', 0 UNION ALL SELECT 'unknown_id', 0 UNION ALL SELECT 'wrong_prefix', 0 UNION ALL SELECT 'missing_entity', 0 UNION ALL SELECT 'repeated_row', 0")
+_BAD = [("S2-1", ""), ("S1-0", "S2-1,S2-1,S1-3,S9-1,S2-999999999"), ("S1-6", "S3-2"), ("S1-999999999", "S3-2,S3-2")]
+_SHEET = "SELECT 'S1-' || e.s_id AS s1, list(r.entity_id) FILTER (r.entity_id IS NOT NULL) AS ids FROM ents e LEFT JOIN pred p USING (s_id) LEFT JOIN rec r ON r.doc_id = p.q_id WHERE e.s_id <> 9 GROUP BY 1 UNION ALL SELECT s1, list_filter(string_split(x, ','), lambda i: i <> '') FROM (VALUES " + ", ".join(map(str, _BAD)) + ") v(s1, x)"
+
+
+@query(f"""WITH sheet AS ({_SHEET}), each AS (SELECT s1, unnest(ids) AS id FROM sheet)
+SELECT 'extra_entity' AS rule, count(DISTINCT s1) AS n FROM sheet WHERE s1 NOT IN (SELECT entity_id FROM rec WHERE src = 'S1')
+UNION ALL SELECT 'repeated_row', count(*) FROM (SELECT s1 FROM sheet GROUP BY s1 HAVING count(*) > 1)
+UNION ALL SELECT 'repeated_id', count(DISTINCT s1) FROM sheet WHERE len(ids) > len(list_distinct(ids))
+UNION ALL SELECT 'self_match', count(DISTINCT id) FROM each WHERE id LIKE 'S1-%'
+UNION ALL SELECT 'wrong_prefix', count(DISTINCT id) FROM each WHERE id NOT LIKE 'S1-%' AND id NOT LIKE 'S2-%' AND id NOT LIKE 'S3-%'
+UNION ALL SELECT 'unknown_id', count(DISTINCT id) FROM each WHERE (id LIKE 'S2-%' OR id LIKE 'S3-%') AND id NOT IN (SELECT entity_id FROM rec WHERE src <> 'S1')
+UNION ALL SELECT 'missing_entity', count(*) FROM rec WHERE src = 'S1' AND entity_id NOT IN (SELECT s1 FROM sheet)""")
 def validate_rules(spark, d):
+    """The grouped output with an entity taken out and rows put in that break each rule."""
     from knotwork.operators.validation import violations
 
-    rows = write_grouped(spark, d).unionByName(spark.createDataFrame([("S2-1", "")], "source1_entity_id string, matched_entity_ids string"))
+    rows = write_grouped(spark, d).where("source1_entity_id <> 'S1-9'").unionByName(spark.createDataFrame(_BAD, "source1_entity_id string, matched_entity_ids string"))
     return violations(rows, src.er_records(spark, d)).select("rule", "n")
+
+
+from knotwork import queries_more  # noqa: E402, F401  registers further queries here

@@ -42,7 +42,7 @@ def test_address_roles(raw, want):
 
 
 def test_unknown_role_is_no_evidence():
-    out = dict(zip(roles.OUT.names, roles.features("a", "", "a", "12 Main")))
+    out = roles.features("a", "a", "", "12 Main", "a", "a", "", "12 main")
     assert not out["prem_known"] and not out["prem_conflict"] and out["prem_one_known"]
 
 
