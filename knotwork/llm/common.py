@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,3 +85,42 @@ def dropped(*tables: DataFrame) -> None:
             jvm = df.sparkSession._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+#: Bits of a filter of ids, whatever the corpus.
+FILTER = 1 << 26
+
+
+class IdFilter:
+    """One bit for each hash of an id: rows whose bit isn't set have none of the ids; for the others a join decides. It keeps most texts out of a shuffle where the ids are few against FILTER, and lets more through where they aren't."""
+
+    def __init__(self, ids: DataFrame, name: str = "doc_id"):
+        at = self._at(name)
+        got = ids.select(F.floor(at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+        bits = np.zeros(FILTER // 32, np.uint32)
+        bits[got.column("w").to_numpy()] = got.column("b").to_numpy().astype(np.uint32)
+        self.shared = ids.sparkSession.sparkContext.broadcast(bits)
+
+    @staticmethod
+    def _at(name: str) -> Column:
+        return F.pmod(F.xxhash64(name), F.lit(FILTER))
+
+    def maybe(self, df: DataFrame, name: str = "doc_id", there: bool = True) -> DataFrame:
+        """The rows of df that may have one of the ids, or with `there` False all others. Rows without an id have none."""
+        shared, columns = self.shared, df.columns
+
+        def run(batches):
+            bits = shared.value
+            for batch in batches:
+                h = batch.column(len(columns)).to_numpy()
+                hit = (bits[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool) & batch.column(len(columns) + 1).to_numpy(zero_copy_only=False)
+                yield batch.filter(pa.array(hit == there)).select(range(len(columns)))
+
+        rows = df.select("*", self._at(name).alias(fresh(df, "h")), F.col(name).isNotNull().alias(fresh(df, "i")))
+        return rows.mapInArrow(run, df._jdf.schema().toDDL())
+
+
+def without_ids(df: DataFrame, ids: DataFrame, name: str = "doc_id") -> DataFrame:
+    """df's rows whose id isn't among ids; only rows that the filter can't tell are shuffled."""
+    found = IdFilter(ids, name)
+    return found.maybe(df, name, there=False).unionByName(found.maybe(df, name).join(ids.select(name), name, "left_anti").select(df.columns))

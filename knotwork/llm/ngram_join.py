@@ -20,14 +20,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import dropped, stored, table, whole
+from knotwork.llm.common import IdFilter, dropped, stored, table, whole
 from knotwork.llm.components import components
 from knotwork.llm.fingerprints import mixed, shingle_hashes, word_hashes
 
 #: Cells of each of the two sketches, and pieces in which they are summed.
 CELLS, PIECES = 1 << 22, 128
-#: Bits of the filter that keeps most texts without a partner out of the shuffle of texts.
-FILTER = 1 << 26
 #: Classes in a block; each UNIT shingles of a class, begun ones too, count for one.
 BLOCK, UNIT = 256, 512
 #: Prefix shingles that are sent in one packet, about, and bytes of text for each bucket that receives them.
@@ -170,22 +168,15 @@ def sifted(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """(doc_id, key, n, text) of the classes in wanted (doc_id, key, n), each once.
 
-    The texts are filtered before they are shuffled by one bit for each hash of an id, FILTER bits whatever the corpus; the join decides. The key is worked out again beside the text, so rows with one id and different texts are told apart."""
-    at = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER))
-    set_ = wanted.select(F.floor(at / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 32).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(FILTER // 32, np.uint32)
-    bits[set_.column("w").to_numpy()] = set_.column("b").to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    The texts are filtered before they are shuffled (IdFilter); the join decides. The key is worked out again beside the text, so rows with one id and different texts are told apart."""
 
     def run(batches):
-        bits = shared.value
         for batch in batches:
-            h = batch.column(2).to_numpy()
-            for part in slices(batch.filter(pa.array((bits[h >> 5] >> (h & 31).astype(np.uint32) & 1).astype(bool))), 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 21):
                 keys, _, _ = keys_of(*shingle_sets(part.column(1).to_pylist(), words), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), part.column(1)], names=["doc_id", "key", "text"])
 
-    likely = docs.select("doc_id", "text", at.alias("h")).mapInArrow(run, "doc_id long, key long, text string")
+    likely = IdFilter(wanted).maybe(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, key long, text string")
     return likely.join(wanted, ["doc_id", "key"]).dropDuplicates(["doc_id", "key"])
 
 

@@ -197,28 +197,26 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "stats").mapInArrow(run, f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def described(docs: DataFrame, to: str, text: str = "text") -> DataFrame:
-    """docs with one more column, the statistics of the whole text; null text is empty. A column of that name must not be there."""
+def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = MOST_LABELS, seed: int = SEED) -> Model:
+    """fit for documents whose statistics aren't there yet: they are worked out for the labelled rows that the fit uses only, `most` at the most, by a hash of the id."""
+    used = stored(labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg(label).alias(label)), "marked")
+    n = used.count()
+    if n > most:
+        used = used.where(unit_hash("doc_id", seed=seed) < most / n)
+    rows = docs.join(F.broadcast(used.select("doc_id")) if most <= MOST_LABELS else used.select("doc_id"), "doc_id", "left_semi")
+    return fit(with_statistics(rows), used, label, most, seed)
+
+
+def with_score(docs: DataFrame, model: Model, to: str = "score", text: str = "text") -> DataFrame:
+    """docs with one more column, the score of the whole text, from one pass over the rows; null text is empty. A column of that name must not be there."""
     refuse(docs, to)
     names = docs.columns
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, text):
-                stats = statistics_of([t or "" for t in part.column(names.index(text)).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(STATS)).cast(pa.list_(pa.float64()))], names=[*names, to])
-
-    return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{to}` array<double>")
-
-
-def with_score(docs: DataFrame, model: Model, stats: str, to: str = "score") -> DataFrame:
-    """docs with one more column, the score by the statistics in the column `stats`. A column of that name must not be there."""
-    refuse(docs, to)
-    at, names = docs.columns.index(stats), [*docs.columns, to]
-
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.score(_matrix(b.column(at))), pa.float64())], names=names)
+                score = model.score(statistics_of([t or "" for t in part.column(names.index(text)).to_pylist()]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*names, to])
 
     return docs.mapInArrow(run, f"{docs._jdf.schema().toDDL()}, `{to}` double")
 
