@@ -10,34 +10,32 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.llm import bpe, mixing, ngram_join, pii, quality
-from knotwork.llm.common import fresh, remainder, stored, table
+from knotwork.llm.common import fresh, remainder, stored, table, without_ids
 
 #: Documents from this score on stay. Lower than the classifier's own decision (0.7): a doubtful document is kept.
 KEEP = 0.5
 
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Quality classifier: documents that it rejects go. It learns from the labels of rows outside the held-out part; an id that isn't there, and a null, empty or very long text, are scored like any other. An empty table stays one. The whole texts are read once: what they are judged by is stored beside them."""
+    """Quality classifier: documents that it rejects go. It learns from the labels of rows outside the held-out part; an id that isn't there, and a null, empty or very long text, are scored like any other. An empty table stays one."""
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
-    stats = fresh(docs, "stats")
-    read = stored(quality.described(docs, stats), "described")
-    model = quality.fit(read.select("doc_id", F.col(stats).alias("stats")), labels)
-    score = fresh(read, "score")
-    return quality.with_score(read, model, stats, score).where(F.col(score) >= KEEP).select(docs.columns)
+    model = quality.fit_on(docs, labels)
+    score = fresh(docs, "score")
+    return quality.with_score(docs, model, score).where(F.col(score) >= KEEP).select(docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five words from 0.8 on: of each group the document with the least id stays, of rows with one id one. Rows without an id and texts without words stay; texts of any length are compared whole; an empty table stays one."""
     found = stored(ngram_join.joined(docs), "groups")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(found.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    kept = without_ids(docs, gone)
     twice = stored(found.groupBy("doc_id").agg(F.count("*").alias("k")).where("k > 1 and doc_id is not null").select("doc_id"), "twice")
     if twice.isEmpty():
         return kept
     n = fresh(docs, "n")
     first = W.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
     again = kept.join(twice, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
-    return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(again.select(docs.columns))
+    return without_ids(kept, twice).unionByName(again.select(docs.columns))
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
