@@ -29,7 +29,7 @@ CELLS, PIECES = 1 << 22, 128
 #: Classes in a block; each UNIT shingles of a class, begun ones too, count for one.
 BLOCK, UNIT = 256, 512
 #: Prefix shingles that are sent in one packet, about, and bytes of text for each bucket that receives them.
-SENT, BUCKET_BYTES = 1 << 20, 1 << 23
+SENT, BUCKET_BYTES = 1 << 19, 1 << 23
 _SALT = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _MANY = 0xFFFF  # stands for "several classes of this packet"
 
@@ -107,7 +107,7 @@ def packets(docs: DataFrame, buckets: int, words: int, percent: int) -> DataFram
     def run(batches):
         packet, held, rows, sent = TaskContext.get().partitionId() << 32, [], 0, 0
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 20):
                 for k in range(0, part.num_rows, 20_000):
                     piece = part.slice(k, 20_000)
                     hashes, of = shingle_sets(piece.column(1).to_pylist(), words)
@@ -172,7 +172,7 @@ def members(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 20):
                 keys, _, _ = keys_of(*shingle_sets(part.column(1).to_pylist(), words), part.num_rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), part.column(1)], names=["doc_id", "key", "text"])
 
@@ -187,7 +187,7 @@ def sketches(docs: DataFrame, words: int) -> np.ndarray:
     def partial(batches):
         total = np.zeros((2, CELLS), np.uint32)
         for batch in batches:
-            for part in slices(batch, 1, 1 << 21):
+            for part in slices(batch, 1, 1 << 20):
                 hashes, _ = shingle_sets(part.column(1).to_pylist(), words)
                 for o in (0, 1):
                     at, n = np.unique(cell(hashes, o), return_counts=True)

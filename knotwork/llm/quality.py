@@ -112,7 +112,7 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, 1 << 20):
                 stats = statistics_of(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel()), len(STATS)).cast(pa.list_(pa.float64()))], names=["doc_id", "stats"])
 
@@ -214,7 +214,7 @@ def with_score(docs: DataFrame, model: Model, to: str = "score", text: str = "te
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, 1 << 20):
                 score = model.score(statistics_of([t or "" for t in part.column(names.index(text)).to_pylist()]))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score, pa.float64())], names=[*names, to])
 
