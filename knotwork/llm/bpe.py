@@ -107,6 +107,7 @@ def slices(batch: pa.RecordBatch, column: str | int, most: int = 1 << 23) -> Ite
     for a, b in zip(starts, starts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def encode(df: DataFrame, text: str = "text", to: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:

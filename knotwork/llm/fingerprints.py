@@ -37,14 +37,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> np.ndarray:
-    p = np.full(n, base, np.uint64)
+def _low_powers(base: int) -> np.ndarray:
+    p = np.full(1 << 12, base, np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
 
 
-def _room(n: int) -> int:
-    return 1 << max(16, int(n).bit_length())
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base, from the first 4096 and the powers of the 4096th; nothing large is kept."""
+    low = _low_powers(base)
+    high = np.full((n >> 12) + 1, pow(base, 1 << 12, 1 << 64), np.uint64)
+    high[0] = 1
+    return (np.multiply.accumulate(high)[:, None] * low).ravel()[:n]
 
 
 def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,8 +65,8 @@ def word_spans(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
 
 def span_hashes(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     codes = np.frombuffer(raw, np.uint8)
-    n = _room(len(codes))
-    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), n)[: len(codes)])))
+    n = len(codes) + 1
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * _powers(int(_BASE), n)[:-1])))
     return mixed((sums[ends] - sums[starts]) * _powers(int(_INVERSE), n)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from knotwork.llm.common import WORD, stored, table, unit_hash, whole
+from knotwork.llm.common import WORD, stored, table, whole
 
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 3
@@ -26,7 +26,14 @@ def n_words(text: str | Column = "text") -> Column:
 
 def size_class(size: Column) -> Column:
     """Sizes under 16 by themselves, then eight classes for each doubling."""
-    return F.when(size < 16, size).otherwise(F.floor(F.log2(size.cast("double")) * 8) - 16).cast("int")
+    # Rounded, so that a power of two is in its class whatever the last bit of its logarithm.
+    return F.when(size < 16, size).otherwise(F.floor(F.round(F.log2(size.cast("double")) * 8, 6)) - 16).cast("int")
+
+
+def drawn(doc_id: Column, seed: int) -> Column:
+    """A seeded number in [0, 1): 48 bits of the id's MD5."""
+    text = F.concat_ws("#", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def water_fill(sources: DataFrame, total: Column | None = None, weights: tuple[float, ...] = WEIGHTS, epochs: float = EPOCHS) -> DataFrame:
@@ -58,7 +65,7 @@ def mixed(docs: DataFrame, keep: list[str] | None = None, weights: tuple[float,
     plan = plan.withColumn("ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     plan = plan.withColumn("times", F.floor(F.round("ratio", 9)).cast("long")).withColumn("part", F.greatest(F.col("ratio") - F.col("times"), F.lit(0.0)))
 
-    classed = sized.withColumn("class", size_class(F.col("size"))).withColumn("u", unit_hash(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), seed=seed))
+    classed = sized.withColumn("class", size_class(F.col("size"))).withColumn("u", drawn(F.col("doc_id"), seed))
     counts = classed.groupBy("source", "class").agg(F.count("*").alias("docs"), F.sum("size").alias("words"))
     parts = counts.join(plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
     # A source has some hundred classes at most, however many documents.
@@ -94,4 +101,4 @@ def picks(classes: Column, part: Column) -> Column:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(table(spark, sf_dir, "documents"))
+    return mixed(table(spark, sf_dir, "documents")).withColumn("target", F.round("target", 6))

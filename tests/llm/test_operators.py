@@ -92,6 +92,36 @@ def test_join_of_odd_rows(spark, odd):
     assert ngram_join.joined(odd.limit(0)).count() == 0
 
 
+def test_join_of_many_unlike_texts_in_one_cell(spark):
+    """Each text shares half of its words with the next one: one chain of candidates, no link but between the planted near copies."""
+    n = 3000
+    rows = [(i, " ".join([f"a{i}x{k}" for k in range(30)] + [f"a{i + 1}x{k}" for k in range(30)])) for i in range(n)]
+    rows += [(n + i, rows[i * 500][1] + f" more{i}") for i in range(6)]
+    got = {r.doc_id: r.component_id for r in ngram_join.joined(table(spark, [(i, t, "en", "s") for i, t in rows]), 4, 85).collect()}
+    assert {i: c for i, c in got.items() if i != c} == {n + i: i * 500 for i in range(6)}
+
+
+def test_rows_of_one_id_keep_their_links(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(40)) for _ in range(2)]
+    rows = [(5, texts[0]), (5, texts[1]), (7, texts[0] + " x"), (9, texts[1] + " y"), (5, texts[0])]
+    got = Counter((r.doc_id, r.component_id, r.n_shingles, r.n_copies) for r in ngram_join.joined(table(spark, [(i, t, "en", "s") for i, t in rows]), 4, 85).collect())
+    assert got == Counter({(5, 5, 37, 2): 2, (5, 5, 37, 1): 1, (7, 5, 38, 1): 1, (9, 5, 38, 1): 1})
+
+
+@pytest.mark.parametrize("name", ["op1_ngram_join", "op3_source_mix"])
+def test_same_rows_as_sql(spark, sf_dir, name):
+    import duckdb
+
+    from knotwork.llm import registry
+
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    df = registry.queries()[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    assert sorted(map(tuple, df.select(columns).collect())) == sorted(c.execute(f"select {', '.join(columns)} from ({registry.oracle_sql()[name]})").fetchall())
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200)]
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
@@ -477,6 +507,23 @@ def test_toxicity(spark, odd):
     assert toxicity.classified(odd.limit(0), frame).count() == 0
 
 
+def test_features_are_a_gaussian_kernel_and_the_fit_is_ridge(spark, sf_dir, docs):
+    Q = quality
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = [(r.doc_id, r.text, labels[r.doc_id]) for r in docs.collect() if r.doc_id in labels]
+    model = Q.fit_on(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, quality int"))
+    x, y = Q.statistics_of([t for _, t, _ in rows]), np.array([y for *_, y in rows], float)
+    assert model.mean == pytest.approx(x.mean(0)) and model.scale == pytest.approx(x.std(0) + 1e-3, rel=1e-3)
+    z = Q.features(model.mean, model.scale, model.weights, x)
+    u = np.clip((x - model.mean) / model.scale, -8, 8)
+    kernel = np.exp(-((u[:, None] - u[None]) ** 2).sum(2) / (2 * len(Q.STATS)))
+    assert np.abs(z[:, 1:] @ z[:, 1:].T - kernel).mean() < 0.08
+    k = z.shape[1]
+    gram = z.T @ z
+    direct = np.linalg.solve(gram + Q.RIDGE * max(1.0, gram[0, 0]) / k * np.eye(k), z.T @ y)
+    assert z @ model.beta == pytest.approx(z @ direct, abs=1e-4)
+
+
 def test_quality(spark, sf_dir, docs, odd):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     got = quality.classified(docs.unionByName(odd.select(docs.columns).withColumn("doc_id", F.col("doc_id") + 10**6)), labels)
@@ -685,6 +732,26 @@ def test_different_values_stay_different(spark):
 # ---- neighbours, pipeline ---------------------------------------------------------------------------------------------
 
 
+def plain_fingerprint(text):
+    """Bins of a plain loop over the shingles; each empty bin asks the bins of its row of attempts in order."""
+    F5 = fingerprints
+    hashes, _ = F5.shingle_hashes(*F5.word_hashes([text]), F5.WORDS)
+    bins = [None] * F5.BINS
+    for h in hashes.tolist():
+        b = h >> (64 - F5.BINS.bit_length() + 1)
+        bins[b] = h if bins[b] is None else min(bins[b], h)
+    if not any(x is not None for x in bins):
+        return b""
+    filled = [x if x is not None else next(bins[j] for j in F5._attempts(F5.BINS)[i].tolist() if bins[j] is not None) for i, x in enumerate(bins)]
+    bits = "".join(format(int(F5.mixed(np.array([x], np.uint64))[0]) & (1 << F5.BITS) - 1, f"0{F5.BITS}b") for x in filled)
+    return int(bits, 2).to_bytes(len(bits) // 8, "big")
+
+
+def test_fingerprints_against_a_plain_version(docs):
+    texts = [(r.text or "").encode() for r in docs.limit(30).collect()] + [b"", b"one", b"a b c d e f", b"x " * 4000]
+    assert fingerprints.fingerprint_rows(texts) == [plain_fingerprint(t) for t in texts]
+
+
 def test_registered_queries():
     import __spark_entry__ as e
 
