@@ -122,7 +122,9 @@ def test_same_rows_as_sql(spark, sf_dir, name):
     assert sorted(map(tuple, df.select(columns).collect())) == sorted(c.execute(f"select {', '.join(columns)} from ({registry.oracle_sql()[name]})").fetchall())
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1 << 18])
+def test_components(spark, small, monkeypatch):
+    monkeypatch.setattr(components, "SMALL", small)
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 102), (200, 200)]
     got = dict(components.components(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 103)}}
