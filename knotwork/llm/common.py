@@ -23,6 +23,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that go to and from Python at once where whole texts do.
+ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session send ROWS rows at once between Spark and Python at most, so that batches of long texts stay small on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
 def whole(text: str | Column = "text") -> Column:
     """The text, empty for null."""
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))

@@ -244,6 +244,19 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split()
 
 
+def together(batches):
+    """Batches of TOGETHER rows at least, but the last; arrays of few words would cost more to start than to work through."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(word, c) of all words of docs (text, train): in how many places the training texts have it; words of other texts only count none."""
 
@@ -297,7 +310,7 @@ def fit(words: DataFrame, path: str, rounds: int = ROUNDS) -> Lattice:
     def expected(lattice: Lattice):
         def run(batches):
             found = np.zeros(len(pieces))
-            for batch in batches:
+            for batch in together(batches):
                 found += lattice.logps([w.decode("utf-8", "replace") for w in batch.column(0).to_pylist()], batch.column(1).to_numpy().astype(float))[1]
             yield batch_of(found)
 
@@ -325,7 +338,7 @@ def scored(docs: DataFrame, held_out: tuple[int, int] = (7, 2), path: str | None
     go_on, ends = math.log1p(-end), math.log(end)
 
     def with_lattice(batches):
-        for batch in batches:
+        for batch in together(batches):
             listed = batch.column(0).to_pylist()
             raw, starts, ends_ = _joined(listed)
             hashes = span_hashes(raw, starts, ends_).view(np.int64)

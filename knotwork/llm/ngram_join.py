@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.llm.bpe import slices
-from knotwork.llm.common import IdFilter, dropped, stored, table, whole
+from knotwork.llm.common import IdFilter, dropped, small_batches, stored, table, whole
 from knotwork.llm.components import components
 from knotwork.llm.fingerprints import mixed, shingle_hashes, word_hashes
 
@@ -380,6 +380,7 @@ def joined(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and n_copies (rows with the same shingle set) of every row.
 
     Rows with equal sets are linked. A null, empty or blank text has no shingles and is linked with nothing: its component is its own id. Null ids take part through their set, but name no component. Repeated rows get repeated results, rows of one id with different texts are told apart; an empty table gives an empty one. Ids must be whole numbers or null. Whole texts of any length are read, a very long one counts as several in a block. Other columns are not looked at."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
     ids = stored(sifted(rows, words, percent), "sets")
     classes = stored(ids.where("n > 0").groupBy("key", "more", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), F.bool_or("likely").alias("likely")), "classes")
