@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from knotwork.llm import bpe, mixing, ngram_join, pii, quality
-from knotwork.llm.common import fresh, remainder, stored, table, without_ids
+from knotwork.llm.common import fresh, remainder, small_batches, stored, table, without_ids
 
 #: Documents from this score on stay. Lower than the classifier's own decision (0.7): a doubtful document is kept.
 KEEP = 0.5
@@ -18,6 +18,7 @@ KEEP = 0.5
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality classifier: documents that it rejects go. It learns from the labels of rows outside the held-out part; an id that isn't there, and a null, empty or very long text, are scored like any other. An empty table stays one."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").where(remainder("doc_id", 4) != 2)
     model = quality.fit_on(docs, labels)
     score = fresh(docs, "score")
