@@ -1,9 +1,12 @@
 """Candidate generation: exact keys, rare tokens, and TF-IDF by an inverted index.
 
-Postings are joined on (country, term), which gives the exact dot product of all pairs that share a term; terms in more than max_df of a country's catalog are left out, which bounds the fan-out."""
+`cosines` joins postings on (country, term), which gives the exact dot product of all pairs that share a term; its rows grow with both sides of a common term. `best` gives the same k best of each query without them: a floor under the query's k-th best score, found from its rarest terms, tells which common terms can't bring a pair to the top by themselves; those are only looked up for pairs that can still get there."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,9 +40,70 @@ def cosines(catalog: DataFrame, queries: DataFrame, terms: str, to: str, **limit
     return pairs.groupBy("q_id", "s_id", "country").agg(F.round(F.sum(F.col("wq") * F.col("ws")), 6).alias(to))
 
 
-def combined(names: DataFrame, addresses: DataFrame) -> DataFrame:
-    both = names.join(addresses, ["q_id", "s_id", "country"], "full").na.fill(0.0, ["cos_name", "cos_addr"])
-    return both.withColumn("cos_comb", F.round(0.5 * F.col("cos_name") + 0.5 * F.col("cos_addr"), 7))
+#: Pairs of postings that are joined all at once; beyond, only those that can bring a pair to the top. Both ways give the same rows.
+AT_ONCE = 100_000_000
+#: Postings, for each of the k, from which the floor under a query's k-th best score is found.
+PROBE = 16
+#: More than rounding can move a score by.
+SLACK = 2e-6
+
+
+def postings(catalog: DataFrame, queries: DataFrame, fields: dict[str, str], **limits) -> tuple[DataFrame, DataFrame]:
+    """Weights (id, country, field, term, w) of both sides. fields: name -> column of terms."""
+    both = [tuple(side.withColumn("field", F.lit(name)) for side in tfidf(catalog, queries, terms, **limits)) for name, terms in fields.items()]
+    s, q = (reduce(DataFrame.unionByName, sides) for sides in zip(*both))
+    return s, q
+
+
+def best(s: DataFrame, q: DataFrame, shares: dict[str, float], k: int, to: str, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df, at_once: int = AT_ONCE) -> DataFrame:
+    """(q_id, s_id, country, each field's cosine, `to`, rank): the k best pairs of each query by the fields' cosines in their shares, among pairs that share a term; ties by the catalog id. Exact.
+
+    s, q: postings. Up to at_once pairs of them, which is counted first, are joined as they are. Beyond, a floor under each query's k-th best score comes first: the least whole score of the k pairs that look best by the query's rarest terms. Its terms are put in order from the most common on; as long as all terms so far, by bounds of what they can give, stay below the floor, a pair that shares only these isn't among the best. So only the terms after them are joined. Pairs that could reach the floor with the left-out terms then get these by id. A query with fewer than k such pairs has no floor, and all its terms are joined. keep(rows, name) may write tables that are read twice."""
+    share = reduce(lambda c, f: c.when(F.col("field") == f, F.lit(shares[f])), list(shares)[1:], F.when(F.col("field") == (first := list(shares)[0]), F.lit(shares[first])))
+    score = reduce(lambda a, b: a + b, (F.col(f) * v for f, v in shares.items()))
+    sums = [F.coalesce(F.sum(F.when(F.col("field") == f, F.col("wq") * F.col("ws"))), F.lit(0.0)).alias(f) for f in shares]
+
+    s = keep(s, "catalog")
+    terms = s.groupBy("country", "field", "term").agg(F.max("w").alias("most"), F.count("*").alias("df"))
+    by_term = s.select(F.col("id").alias("s_id"), "country", "field", "term", F.col("w").alias("ws"))
+    q = q.join(terms, ["country", "field", "term"]).withColumn("bound", share * F.col("w") * F.col("most"))
+    q = keep(q.select(F.col("id").alias("q_id"), "country", "field", "term", F.col("w").alias("wq"), "df", "bound"), "queries")
+
+    matched = lambda q, *more: q.select("q_id", "country", "field", "term", "wq").join(by_term, ["country", "field", "term"]).groupBy("q_id", "s_id", "country").agg(*sums, *more)
+
+    def completed(pairs: DataFrame, left_out: DataFrame) -> DataFrame:
+        """The pairs with what the left-out terms of their query add, looked up by both ids."""
+        at = pairs.select("q_id", "s_id").join(left_out.select("q_id", "country", "field", "term", "wq"), "q_id")
+        more = at.join(by_term.drop("country"), ["s_id", "field", "term"]).groupBy("q_id", "s_id", "country").agg(*sums)
+        return pairs.select("q_id", "s_id", "country", *shares).unionByName(more).groupBy("q_id", "s_id", "country").agg(*(F.sum(f).alias(f) for f in shares))
+
+    rounded = [F.round(f, 6).alias(f) for f in shares]
+    if (q.agg(F.sum("df").alias("n")).first()["n"] or 0) <= at_once:
+        return ranked(matched(q).select("q_id", "s_id", "country", *rounded).withColumn(to, F.round(score, 7)), k, to)
+
+    one, term = W.partitionBy("q_id"), F.struct("field", "term")
+    q = q.withColumn("before", F.coalesce(F.sum("df").over(one.orderBy("df", term).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    common = one.orderBy(F.desc("df"), term).rowsBetween(W.unboundedPreceding, 0)
+    # Two bounds of what the terms so far can give: at their greatest weights, and for any catalog row, whose weights have length 1 in each field.
+    lengths = reduce(lambda a, b: a + b, (shares[f] * F.sqrt(F.coalesce(F.sum(F.when(F.col("field") == f, F.col("wq") * F.col("wq"))).over(common), F.lit(0.0))) for f in shares))
+    q = q.withColumn("covered", F.least(F.sum("bound").over(common), lengths))
+    early = F.col("before") < PROBE * k
+    probes = keep(ranked(matched(q.where(early)).withColumn("so_far", score), k, "so_far"), "probes")
+    # k pairs of the query have this score at least, so the k-th best has.
+    floor = completed(probes, q.where(~early)).groupBy("q_id").agg(F.count("*").alias("n"), F.min(score).alias("floor")).where(F.col("n") == k).drop("n")
+    q = keep(q.join(floor, "q_id", "left").na.fill(0.0, ["floor"]).withColumn("asks", F.col("covered") >= F.col("floor") - SLACK).drop("before", "df", "bound"), "asks")
+
+    late = q.where("NOT asks")
+    square = lambda f, x: F.coalesce(F.sum(F.when(F.col("field") == f, F.col(x) * F.col(x))), F.lit(0.0))
+    needs = q.groupBy("q_id").agg((F.max("floor") - SLACK).alias("needs"))
+    rest = late.groupBy("q_id").agg(F.max("covered").alias("rest"), *(square(f, "wq").alias(f"late_{f}") for f in shares))
+    needs = needs.join(rest, "q_id", "left").na.fill(0.0)
+    found = matched(q.where("asks"), *(square(f, "ws").alias(f"met_{f}") for f in shares)).join(needs, "q_id")
+    # The weights of the catalog's row that were met leave the rest of length 1 for the left-out terms.
+    room = reduce(lambda a, b: a + b, (shares[f] * F.sqrt(F.col(f"late_{f}") * F.greatest(1.0 - F.col(f"met_{f}"), F.lit(0.0))) for f in shares))
+    found = found.where(score + F.least("rest", room) >= F.col("needs")).select("q_id", "s_id", "country", *shares)
+    whole = completed(keep(found, "reach"), late).select("q_id", "s_id", "country", *rounded)
+    return ranked(whole.withColumn(to, F.round(score, 7)), k, to)
 
 
 def ranked(pairs: DataFrame, k: int = 10, by: str = "cos_comb") -> DataFrame:
@@ -84,8 +148,8 @@ def bounded_grams(tokens: Column, low: int = 3, high: int = 4) -> Column:
     return F.flatten(F.transform(tokens, one))
 
 
-def global_topk(index: DataFrame, queries: DataFrame, terms: str, k: int, min_df: int, max_df: float) -> DataFrame:
-    """(q_id, s_id, cos, rank): the k most alike rows of the index for each query of its country; weights are counted over the whole index, whatever the country."""
+def global_topk(index: DataFrame, queries: DataFrame, terms: str, k: int, min_df: int, max_df: float, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> DataFrame:
+    """(s_id, q_id, cos, rank): the k most alike rows of the index for each query of its country; weights are counted over the whole index, whatever the country."""
     tf = lambda d: d.select("id", "country", F.explode(terms).alias("term")).groupBy("id", "country", "term").agg(F.count("*").alias("tf"))
     s = tf(index)
     n = index.agg(F.count("*").alias("n"))
@@ -96,11 +160,10 @@ def global_topk(index: DataFrame, queries: DataFrame, terms: str, k: int, min_df
         raw = side.join(idf, "term").withColumn("w", (1.0 + F.log("tf")) * F.col("idf"))
         return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("id")))).select("id", "country", "term", "w")
 
-    a, b = weights(tf(queries)), weights(s)
-    pairs = a.select(F.col("id").alias("s_id"), "country", "term", F.col("w").alias("wa")).join(b.select(F.col("id").alias("q_id"), "country", "term", F.col("w").alias("wb")), ["country", "term"])
-    cos = pairs.groupBy("s_id", "q_id").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("cos"))
-    order = W.partitionBy("s_id").orderBy(F.col("cos").desc(), "q_id")
-    return cos.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
+    one = lambda side: weights(side).withColumn("field", F.lit("dot"))
+    # What asks is called q_id by `best`, and s_id here.
+    top = best(one(s), one(tf(queries)), {"dot": 1.0}, k, "cos", keep)
+    return top.select(F.col("q_id").alias("s_id"), F.col("s_id").alias("q_id"), "cos", "rank")
 
 
 def patched(old: DataFrame, fresh: DataFrame, renewed: DataFrame) -> DataFrame:

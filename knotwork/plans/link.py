@@ -34,11 +34,12 @@ def candidates(spark: SparkSession, sf_dir: str, k: int = 10, limits: dict = LIM
 
     def build() -> DataFrame:
         s1, q = sides(normalised_records(spark, sf_dir).withColumn("grams", R.name_grams(F.col("core"))))
-        names = R.cosines(s1, q, "grams", "cos_name", **limits)
-        addresses = R.cosines(s1, q, "addr", "cos_addr", **limits)
-        return R.ranked(R.combined(names, addresses), k)
+        s, q = R.postings(s1, q, {"cos_name": "grams", "cos_addr": "addr"}, **limits)
+        keep = lambda df, part: kept(spark, sf_dir, f"{name}-{part}", lambda: df)
+        return R.best(s, q, {"cos_name": 0.5, "cos_addr": 0.5}, k, "cos_comb", keep)
 
-    return kept(spark, sf_dir, f"candidates-{k}-{'-'.join(map(str, limits.values()))}", build)
+    name = f"candidates-{k}-{'-'.join(map(str, limits.values()))}"
+    return kept(spark, sf_dir, name, build)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,6 +15,7 @@ from knotwork.operators import evaluation as E
 from knotwork.operators import features as P
 from knotwork.operators import retrieval as R
 from knotwork.operators import roles
+from knotwork.operators.relations import place_by_hash
 from knotwork.oracle import address, core, leet, null_text, sql, weighted
 from knotwork.plans import link as L
 from knotwork.sources import records as src
@@ -525,8 +526,7 @@ def query_folds(spark, d):
 def stratified_split(spark, d):
     t = src.er_truth(spark, d).groupBy("s_id").agg(F.count("*").alias("m"))
     e = _sides(spark, d)[0].select(F.col("id").alias("s_id"), "country").join(t, "s_id", "left").select("s_id", "country", F.least(F.coalesce("m", F.lit(0)), F.lit(2)).alias("k"))
-    s = W.partitionBy("country", "k")
-    return e.select("s_id", "country", "k", (F.row_number().over(s.orderBy(F.md5(F.col("s_id").cast("string").cast("binary")))) <= F.round(0.2 * F.count("*").over(s))).alias("validation"))
+    return place_by_hash(e, ["country", "k"], "s_id", "place", "n").select("s_id", "country", "k", (F.col("place") <= F.round(0.2 * F.col("n"))).alias("validation"))
 
 
 @query("SELECT country, core, max(id) AS removed, count(*) AS members FROM s1n GROUP BY country, core HAVING count(*) >= 2 AND count(DISTINCT business_address) >= 2")

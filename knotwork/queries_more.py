@@ -15,6 +15,7 @@ from knotwork.operators import relations as R2
 from knotwork.operators import retrieval as R
 from knotwork.oracle import _F, _HASH, _map, address, swept
 from knotwork.plans import link as L
+from knotwork.plans import store
 from knotwork.queries import _CONFLICT, _COV, _GROUP, _MACRO, _RARE, _UNION_SQL, _edits, _literals, _pairs, _siblings, _sides, block_union, query, rare_token_block
 from knotwork.sources import records as src
 
@@ -175,7 +176,8 @@ def _global_sql(terms: str, k: int, min_df: int, max_df: float) -> str:
 
 def _global(spark, d, grams, k, min_df, max_df) -> DataFrame:
     s1, q = (x.withColumn("grams", grams(F.col("tokens"))) for x in _sides(spark, d))
-    return R.global_topk(q, s1, "grams", k, min_df, max_df)
+    keep = lambda df, part: store.kept(spark, d, f"{grams.__name__}-{k}-{min_df}-{max_df}-{part}", lambda: df)
+    return R.global_topk(q, s1, "grams", k, min_df, max_df, keep)
 
 
 @query(_global_sql(_WORDS, 10, 2, 0.2))

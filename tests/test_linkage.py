@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from knotwork.operators import evaluation as E
-from knotwork.operators import models, retrieval
+from knotwork.operators import models, relations, retrieval
 from knotwork.operators.validation import violations
 from knotwork.sources import records
 
@@ -26,6 +26,39 @@ def test_ranks_break_ties_by_id(spark):
     assert [r.s_id for r in retrieval.ranked(pairs).orderBy("rank").collect()] == list(range(10))
 
 
+def test_best_pairs_with_and_without_a_floor(spark):
+    import random
+
+    deal = random.Random(5)
+    common = ["of", "and", "co"]
+    # Every row has common terms, so each query shares one with all rows; ties and repeated rows come with the few words.
+    row = lambda i: (i, "x" if i % 4 else "y", common[: deal.randint(1, 3)] + [f"w{int(deal.paretovariate(0.7)) % 60}" for _ in range(deal.randint(0, 4))], [str(deal.randint(1, 9)) for _ in range(deal.randint(0, 3))])
+    schema = "id long, country string, name array<string>, addr array<string>"
+    catalog, queries = spark.createDataFrame([row(i) for i in range(400)], schema), spark.createDataFrame([row(i) for i in range(1000, 1150)], schema)
+    fields, shares, limits = {"a": "name", "b": "addr"}, {"a": 0.5, "b": 0.5}, {"min_df": 1, "max_df": 1.0}
+    plain = retrieval.cosines(catalog, queries, "name", "a", **limits).join(retrieval.cosines(catalog, queries, "addr", "b", **limits), ["q_id", "s_id", "country"], "full").na.fill(0.0, ["a", "b"])
+    plain = retrieval.ranked(plain.withColumn("c", F.round(0.5 * F.col("a") + 0.5 * F.col("b"), 7)), 5, "c")
+    rows = lambda df: sorted((r.q_id, r["rank"], r.s_id, r.a, r.b, r.c) for r in df.collect())
+    s, q = retrieval.postings(catalog, queries, fields, **limits)
+    left_out = []
+    seen = lambda df, part: (left_out.append(df.where("NOT asks").count()) if part == "asks" else None, df)[1]
+    for at_once in (0, 10**9):
+        assert rows(retrieval.best(s, q, shares, 5, "c", seen, at_once)) == rows(plain)
+    assert len(left_out) == 1 and left_out[0] > 0
+    nothing = catalog.limit(0)
+    assert retrieval.best(*retrieval.postings(nothing, queries, fields, **limits), shares, 5, "c").isEmpty()
+
+
+def test_places_by_hash(spark):
+    import hashlib
+
+    rows = [(i, None if i % 3 == 0 else "x") for i in range(500)]
+    got = {r.id: (r.place, r.n) for r in relations.place_by_hash(spark.createDataFrame(rows, "id long, g string"), ["g"], "id", "place", "n").collect()}
+    for g in (None, "x"):
+        ids = sorted((i for i, h in rows if h == g), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+        assert [got[i] for i in ids] == [(k, len(ids)) for k in range(1, len(ids) + 1)]
+
+
 def test_rules(spark):
     rec = spark.createDataFrame([("S1-1", "S1"), ("S1-2", "S1"), ("S2-1", "S2")], "entity_id string, src string")
     rows = spark.createDataFrame([("S1-1", "S2-1,S2-1"), ("S1-1", "S1-2"), ("S1-9", "S9-1,S2-7")], "source1_entity_id string, matched_entity_ids string")
