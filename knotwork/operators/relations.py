@@ -8,17 +8,23 @@ from pyspark.sql import functions as F
 
 from knotwork.operators.evaluation import bucket
 
-#: Keys in a bucket of with_row_index.
+#: Keys in a bucket of running_before.
 BUCKET = 4096
 
 
+def running_before(df: DataFrame, key: str, value: str, to: str) -> DataFrame:
+    """df with the sum of `value` over the rows before each one by a whole-number key. In two steps: the buckets' running sums, a row for BUCKET keys, then sums inside a bucket; so no task sorts all rows."""
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rows = df.withColumn("__b", F.floor(F.col(key) / BUCKET))
+    sums = rows.groupBy("__b").agg(F.sum(value).alias("__n"))
+    starts = sums.select("__b", before(W.orderBy("__b"), "__n").alias("__at"))
+    rows = rows.withColumn("__i", before(W.partitionBy("__b").orderBy(key), value))
+    return rows.join(starts, "__b").withColumn(to, F.col("__at") + F.col("__i")).drop("__b", "__i", "__at")
+
+
 def with_row_index(df: DataFrame, key: str, to: str = "index") -> DataFrame:
-    """df with the place of each row by a whole-number key, from 0. In two steps: the buckets' running counts, a row for BUCKET keys, then places inside a bucket; so no task sorts all rows."""
-    b = F.floor(F.col(key) / BUCKET)
-    counts = df.groupBy(b.alias("__b")).agg(F.count("*").alias("__n"))
-    starts = counts.select("__b", F.coalesce(F.sum("__n").over(W.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__at"))
-    rows = df.withColumn("__b", b).withColumn("__i", F.row_number().over(W.partitionBy("__b").orderBy(key)))
-    return rows.join(starts, "__b").withColumn(to, F.col("__at") + F.col("__i") - 1).drop("__b", "__i", "__at")
+    """df with the place of each row by a whole-number key, from 0."""
+    return running_before(df.withColumn("__one", F.lit(1)), key, "__one", to).drop("__one")
 
 
 def place_by_hash(df: DataFrame, group: list[str], key: str, place: str, of: str) -> DataFrame:

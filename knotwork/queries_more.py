@@ -39,8 +39,7 @@ def join_in_order(spark, d):
     rows = R2.join_in_order(e, src.er_truth(spark, d), ["s_id"], "s_id")
     # The place proves the order; a key for each row of the left side and its matches.
     per = rows.withColumn("i", F.row_number().over(W.partitionBy("s_id").orderBy(F.col("q_id").asc_nulls_first())))
-    starts = R2.with_row_index(per.groupBy("s_id").agg(F.count("*").alias("n")), "s_id", "k")
-    before = starts.select(F.col("s_id").alias("of"), "n", F.coalesce(F.sum("n").over(W.orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = R2.running_before(per.groupBy(F.col("s_id").alias("of")).agg(F.count("*").alias("n")), "of", "n", "before")
     return per.join(before, F.col("s_id") == F.col("of")).select("s_id", "q_id", (F.col("before") + F.col("i") - 1).alias("place"))
 
 
