@@ -11,6 +11,7 @@ from knotwork.functions import text as X
 from knotwork.operators import evaluation as E
 from knotwork.operators import features as P
 from knotwork.operators import models as M
+from knotwork.operators import nearest as N
 from knotwork.operators import relations as R2
 from knotwork.operators import retrieval as R
 from knotwork.oracle import _F, _HASH, _map, address, swept
@@ -176,7 +177,7 @@ def _global_sql(terms: str, k: int, min_df: int, max_df: float) -> str:
 def _global(spark, d, grams, k, min_df, max_df) -> DataFrame:
     s1, q = (x.withColumn("grams", grams(F.col("tokens"))) for x in _sides(spark, d))
     keep = lambda df, part: store.kept(spark, d, f"{grams.__name__}-{k}-{min_df}-{max_df}-{part}", lambda: df)
-    return R.global_topk(q, s1, "grams", k, min_df, max_df, keep)
+    return N.global_topk(q, s1, "grams", k, min_df, max_df, keep)
 
 
 @query(_global_sql(_WORDS, 10, 2, 0.2))
