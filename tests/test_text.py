@@ -53,3 +53,9 @@ def test_addresses_and_names(spark):
     names = spark.createDataFrame([("M/s. S.A.S.U. L'Oréal & Co",), ("preparat0ry 94b",)], "s string")
     assert [r[0] for r in names.select(F.array_join(X.name_tokens("s"), " ")).collect()][1] == "preparatory 94b"
     assert [r[0] for r in names.select(F.array_join(X.core(F.array(F.lit("the"), F.lit("inc"))), " ")).collect()] == ["the inc"] * 2
+
+
+def test_first_words_are_those_of_the_whole_text(spark):
+    texts = ["", " ", "A", "..a b", "a b c", "-a--b  c d.", "a b c d e f", "..a b c d", "Ünï a1 b2 c3 d4", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "s string").select(X.words("s", 3).alias("few"), F.slice(X.words("s"), 1, 3).alias("all"))
+    assert all(r.few == r["all"] for r in rows.collect())
