@@ -37,7 +37,7 @@ def join_checked(spark, d):
 @query("SELECT e.s_id, t.q_id, row_number() OVER (ORDER BY e.s_id, t.q_id NULLS FIRST) - 1 AS place FROM ents e LEFT JOIN truth t USING (s_id)")
 def join_in_order(spark, d):
     e = _sides(spark, d)[0].select(F.col("id").alias("s_id"))
-    rows = R2.join_in_order(e, src.er_truth(spark, d), ["s_id"], "s_id")
+    rows = R2.join_in_order(e, L.truth(spark, d), ["s_id"], "s_id")
     # The place proves the order; a key for each row of the left side and its matches.
     per = rows.withColumn("i", F.row_number().over(W.partitionBy("s_id").orderBy(F.col("q_id").asc_nulls_first())))
     before = R2.running_before(per.groupBy(F.col("s_id").alias("of")).agg(F.count("*").alias("n")), "of", "n", "before")
@@ -69,7 +69,7 @@ def sibling_pairs(spark, d):
 @query("(SELECT q_id, s_id FROM pred INTERSECT SELECT q_id, s_id FROM cand) EXCEPT SELECT q_id, s_id FROM truth")
 def pair_algebra(spark, d):
     two = lambda x: x.select("q_id", "s_id")
-    return two(L.linked_pairs(spark, d)).intersect(two(L.candidates(spark, d))).exceptAll(two(src.er_truth(spark, d)))
+    return two(L.linked_pairs(spark, d)).intersect(two(L.candidates(spark, d))).exceptAll(two(L.truth(spark, d)))
 
 
 @query("SELECT q_id, s_id, cos_comb FROM cand ORDER BY cos_comb DESC, q_id, s_id LIMIT 25")
@@ -94,7 +94,7 @@ def _entities(spark, d) -> DataFrame:
 
 def _entity_f(spark, d, predicted: DataFrame | None = None) -> DataFrame:
     """tp, fp, fn and F0.5 of each entity."""
-    c = E.entity_counts(_entities(spark, d), src.er_truth(spark, d), L.linked_pairs(spark, d) if predicted is None else predicted)
+    c = E.entity_counts(_entities(spark, d), L.truth(spark, d), L.linked_pairs(spark, d) if predicted is None else predicted)
     return c.withColumn("f", E.f_beta(F.col("tp"), F.col("fp"), F.col("fn")))
 
 
@@ -256,7 +256,7 @@ def assemble_by_country(spark, d):
 @query(_crossfit_sql(_SEGMENT))
 def segment_threshold(spark, d):
     t = E.top3(L.scored(spark, d)).join(_sides(spark, d)[1].select(F.col("id").alias("q_id"), "src"), "q_id")
-    return E.cross_fitted(E.swept(_entities(spark, d), src.er_truth(spark, d), E.by_segment(t, F.col("src") == "S3", _GRID, 0.7), _GRID))
+    return E.cross_fitted(E.swept(_entities(spark, d), L.truth(spark, d), E.by_segment(t, F.col("src") == "S3", _GRID, 0.7), _GRID))
 
 
 _PLACES = f"SELECT t, q_id, s_id FROM (SELECT *, unnest({_GRID_SQL}) AS t FROM (SELECT *, row_number() OVER (PARTITION BY s_id ORDER BY p1 DESC, q_id) AS place FROM top3 WHERE p1 >= 0.3)) WHERE CASE WHEN place > 1 THEN p1 >= t ELSE p1 >= 0.7 END"
@@ -265,7 +265,7 @@ _PLACES = f"SELECT t, q_id, s_id FROM (SELECT *, unnest({_GRID_SQL}) AS t FROM (
 @query(_crossfit_sql(swept(_PLACES, _GRID_SQL)))
 def first_additional_threshold(spark, d):
     t = E.place_on_entity(E.top3(L.scored(spark, d)))
-    return E.cross_fitted(E.swept(_entities(spark, d), src.er_truth(spark, d), E.by_segment(t, F.col("place") > 1, _GRID, 0.7), _GRID))
+    return E.cross_fitted(E.swept(_entities(spark, d), L.truth(spark, d), E.by_segment(t, F.col("place") > 1, _GRID, 0.7), _GRID))
 
 
 @query("SELECT q_id, s_id, round(CASE WHEN p1 BETWEEN 0.001 AND 0.6 THEN cos_name ELSE p1 END, 6) AS p FROM top3 JOIN cand USING (q_id, s_id)")
@@ -318,7 +318,7 @@ def paired_bootstrap(spark, d):
 
 @query("SELECT src, sum(t * p)::BIGINT AS tp, sum((1 - t) * p)::BIGINT AS fp, sum(t * (1 - p))::BIGINT AS fn, round(sum(t * p) / greatest(sum(p), 1), 6) AS precision, round(sum(t * p) / greatest(sum(t), 1), 6) AS recall, round(1.25 * sum(t * p) / greatest(1.25 * sum(t * p) + 0.25 * sum(t * (1 - p)) + sum((1 - t) * p), 1e-9), 6) AS f05 FROM (SELECT q_id, coalesce(a.t, 0) AS t, coalesce(b.p, 0) AS p FROM (SELECT q_id, s_id, 1 AS t FROM truth) a FULL JOIN (SELECT q_id, s_id, 1 AS p FROM pred) b USING (q_id, s_id)) JOIN qn ON qn.id = q_id GROUP BY src")
 def pair_metrics(spark, d):
-    t, p = src.er_truth(spark, d).withColumn("t", F.lit(1)), L.linked_pairs(spark, d).select("q_id", "s_id").withColumn("p", F.lit(1))
+    t, p = L.truth(spark, d).withColumn("t", F.lit(1)), L.linked_pairs(spark, d).select("q_id", "s_id").withColumn("p", F.lit(1))
     both = t.join(p, ["q_id", "s_id"], "full").na.fill(0, ["t", "p"]).join(_sides(spark, d)[1].select(F.col("id").alias("q_id"), "src"), "q_id")
     tp, fp, fn = F.sum(F.col("t") * F.col("p")), F.sum((1 - F.col("t")) * F.col("p")), F.sum(F.col("t") * (1 - F.col("p")))
     share = lambda a, b: F.round(a / F.greatest(b, F.lit(1)), 6)
@@ -345,7 +345,7 @@ _DROPPED = f"SELECT k, round(avg({_F}), 6) AS f05 FROM (SELECT s_id, k, coalesce
 def dropped_truth(spark, d):
     """Entities taken out of the catalog: their records count as unmatched, and wrong links of unmatched records count 1, 2 and 4 times."""
     kept = _entities(spark, d).where(_KEPT).select("s_id")
-    return E.with_multiplicity(kept, src.er_truth(spark, d), L.linked_pairs(spark, d), (1, 2, 4))
+    return E.with_multiplicity(kept, L.truth(spark, d), L.linked_pairs(spark, d), (1, 2, 4))
 
 
 _STRESS = f"SELECT s_id, {_F} AS f, tp + fn AS k FROM (SELECT e.s_id, coalesce(sum(h), 0) AS tp, coalesce(sum(1 - h), 0) AS fp, (SELECT count(*) FROM truth z WHERE z.s_id = e.s_id) - coalesce(sum(h), 0) AS fn FROM (SELECT s_id FROM ents WHERE s_id NOT IN (SELECT s_id FROM rm)) e LEFT JOIN (SELECT p.s_id, (x.q_id IS NOT NULL)::INT AS h FROM strest p LEFT JOIN truth x USING (q_id, s_id) WHERE p.p1 >= 0.7) USING (s_id) GROUP BY e.s_id)"
@@ -363,7 +363,7 @@ def _stress(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(f"SELECT count(*) AS n, round(avg(f), 6) AS f_all, round(avg(f) FILTER (tw), 6) AS f_twins, count(*) FILTER (tw) AS n_twins, round(avg(f) FILTER (tw AND k = 0), 6) AS f_twins_zero FROM (SELECT *, s_id IN (SELECT id FROM s1n JOIN rm USING (country, core)) AS tw FROM ({_STRESS}))")
 def stress_eval(spark, d):
     left, twins, top = _stress(spark, d)
-    c = E.entity_counts(left, src.er_truth(spark, d), top.where("p1 >= 0.7")).join(twins.withColumn("tw", F.lit(True)), "s_id", "left").withColumn("tw", F.coalesce("tw", F.lit(False)))
+    c = E.entity_counts(left, L.truth(spark, d), top.where("p1 >= 0.7")).join(twins.withColumn("tw", F.lit(True)), "s_id", "left").withColumn("tw", F.coalesce("tw", F.lit(False)))
     # entity_counts also sees links to removed entities; only those that stay are counted.
     f = E.f_beta(F.col("tp"), F.col("fp"), F.col("fn"))
     mean = lambda cond: F.round(F.avg(F.when(cond, f)), 6)
@@ -373,7 +373,7 @@ def stress_eval(spark, d):
 @query("SELECT least(k, 8) AS cluster_size, count(*) AS records, round(avg((coalesce(p1, 0) >= 0.7)::INT), 6) AS accepted FROM (SELECT x.q_id, count(*) OVER (PARTITION BY x.s_id) AS k, p1 FROM truth x JOIN rm USING (s_id) LEFT JOIN strest p USING (q_id)) GROUP BY 1")
 def stress_distractors(spark, d):
     left, _, top = _stress(spark, d)
-    lost = src.er_truth(spark, d).join(left, "s_id", "left_anti").withColumn("k", F.count("*").over(W.partitionBy("s_id")))
+    lost = L.truth(spark, d).join(left, "s_id", "left_anti").withColumn("k", F.count("*").over(W.partitionBy("s_id")))
     rows = lost.select("q_id", "k").join(top.select("q_id", "p1"), "q_id", "left")
     return rows.groupBy(F.least("k", F.lit(8)).alias("cluster_size")).agg(F.count("*").alias("records"), F.round(F.avg((F.coalesce("p1", F.lit(0.0)) >= 0.7).cast("int")), 6).alias("accepted"))
 
@@ -386,7 +386,7 @@ _BAND = "CASE WHEN p1 < 0.1 THEN '0.0-0.1' WHEN p1 < 0.5 THEN '0.1-0.5' WHEN p1
 def conflict_segment(spark, d):
     pairs = _pairs(spark, d).where(P.conflict()).select("q_id", "s_id")
     t = E.top3(L.scored(spark, d)).join(pairs, ["q_id", "s_id"], "left_semi").join(_siblings(spark, d).where("sup_nums_all >= 1").select("q_id", "s_id"), ["q_id", "s_id"], "left_semi")
-    t = t.join(src.er_truth(spark, d).select("q_id", F.col("s_id").alias("x")), "q_id", "left").withColumn("correct", F.coalesce(F.col("x") == F.col("s_id"), F.lit(False)))
+    t = t.join(L.truth(spark, d).select("q_id", F.col("s_id").alias("x")), "q_id", "left").withColumn("correct", F.coalesce(F.col("x") == F.col("s_id"), F.lit(False)))
     p = F.col("p1")
     band = F.when(p < 0.1, "0.0-0.1").when(p < 0.5, "0.1-0.5").when(p < 0.7, "0.5-0.7").otherwise("0.7-1.0")
     return t.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.round(F.avg(F.col("correct").cast("int")), 6).alias("true_rate"), F.round(F.avg((p >= 0.7).cast("int")), 6).alias("accept_rate"))
@@ -412,7 +412,7 @@ def density_free_likeness(spark, d):
 @query()
 def fp_reason_tags(spark, d):
     """Why a wrong link may have been made, by the first rule that holds."""
-    wrong = L.linked_pairs(spark, d).join(src.er_truth(spark, d), ["q_id", "s_id"], "left_anti")
+    wrong = L.linked_pairs(spark, d).join(L.truth(spark, d), ["q_id", "s_id"], "left_anti")
     p = _pairs(spark, d).join(wrong.select("q_id", "s_id"), ["q_id", "s_id"], "left_semi")
     p = p.select("q_id", "s_id", "addr_missing", P.conflict().alias("cf"), F.size(F.array_except("qnum", "snum")).alias("more"), _edits())
     reason = F.when(F.col("addr_missing"), "no_address_name_only").when(F.col("cf"), "numeric_mismatch").when(F.col("more") > 0, "extra_or_changed_number").when(F.col("e.nm_tset") < 90, "name_word_changed").when(F.col("e.ad_tset") < 90, "address_token_changed").otherwise("near_identical")
@@ -428,7 +428,7 @@ def twin_stats(spark, d):
     t = E.top3(L.scored(spark, d)).select("q_id", "s_id", "p1").join(q.select(F.col("id").alias("q_id"), F.col("numbers").alias("qn"), F.col("core").alias("qc")), "q_id").join(s1.select(F.col("id").alias("s_id"), F.col("numbers").alias("sn"), F.col("core").alias("sc")), "s_id")
     n = lambda *by: F.count("*").over(W.partitionBy("s_id", *by))
     t = t.withColumn("same_nums", n("qn")).withColumn("same_name", n("qc")).withColumn("size", n()).withColumn("taken", F.sum((F.col("p1") >= 0.7).cast("int")).over(W.partitionBy("s_id")))
-    t = t.join(src.er_truth(spark, d).withColumn("hit", F.lit(True)), ["q_id", "s_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    t = t.join(L.truth(spark, d).withColumn("hit", F.lit(True)), ["q_id", "s_id"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
     dev, name, has = F.col("qn") != F.col("sn"), F.col("qc") != F.col("sc"), F.size("qn") > 0
     mean = lambda x, c=None: F.round(F.avg(x if c is None else F.when(c, x)), 6)
     cls = F.when(F.col("p1") >= 0.7, F.when(F.col("hit"), "TP").otherwise("FP")).otherwise(F.when(F.col("hit"), "FN").otherwise("TN"))
