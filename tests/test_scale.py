@@ -7,9 +7,9 @@ from knotwork.queries import QUERIES
 from test_nearest import shuffled
 
 #: Queries that shuffled the pairs of postings that their candidates come from.
-CANDIDATES = ["cut_bins", "error_classes", "macro_f05", "neg_multiplicity", "oracle_ceiling", "singleton_accuracy"]
+CANDIDATES = ["cut_bins", "error_classes", "macro_f05", "neg_multiplicity", "oracle_ceiling", "pair_algebra", "singleton_accuracy"]
 #: Queries that read all texts again for the true links.
-TRUTH = ["cut_bins", "error_classes", "macro_f05", "neg_multiplicity", "oracle_ceiling", "singleton_accuracy"]
+TRUTH = ["cut_bins", "error_classes", "macro_f05", "neg_multiplicity", "oracle_ceiling", "pair_algebra", "singleton_accuracy"]
 
 
 @pytest.fixture(scope="module")
