@@ -10,7 +10,7 @@ from knotwork.queries import QUERIES
 from test_nearest import shuffled
 
 #: Queries that shuffled the pairs of postings that their candidates come from.
-CANDIDATES = ["acronym_equal", "arith_blend", "assign_threshold", "char3_jaccard", "cut_bins", "density_free_likeness", "density_free_rules", "direct_features", "error_classes", "fuzzy_features", "global_topk", "jaro_winkler", "macro_f05", "margins", "mine_noise_tokens", "missed_match_categories", "neg_multiplicity", "number_features", "oracle_ceiling", "pair_algebra", "role_features", "singleton_accuracy"]
+CANDIDATES = ["acronym_equal", "arith_blend", "assign_threshold", "char3_jaccard", "char_tfidf_topk", "cut_bins", "density_free_likeness", "density_free_rules", "direct_features", "error_classes", "fuzzy_features", "global_topk", "jaro_winkler", "macro_f05", "margins", "mine_noise_tokens", "missed_match_categories", "neg_multiplicity", "number_features", "oracle_ceiling", "pair_algebra", "role_features", "singleton_accuracy"]
 #: Queries that read all texts again for the true links.
 TRUTH = ["cut_bins", "error_classes", "macro_f05", "neg_multiplicity", "oracle_ceiling", "pair_algebra", "singleton_accuracy"]
 
