@@ -1,7 +1,10 @@
+import cProfile
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from knotwork.operators import nearest as module
 from knotwork.operators import retrieval
 from knotwork.operators.nearest import global_topk, idf, nearest
 from knotwork.plans import link
@@ -47,3 +50,20 @@ def test_candidates_do_not_shuffle_pairs_of_postings(spark, tmp_path):
     before = shuffled(spark)
     assert link.candidates(spark, str(tmp_path)).count() == 20_000
     assert shuffled(spark) - before < 200_000
+
+
+def test_few_calls_for_a_query(monkeypatch):
+    # A tenth of the catalog shares each of a query's thirty terms.
+    deal = random.Random(7)
+    words = [f"w{i}" for i in range(300)]
+    row = lambda side, i: {"side": side, "id": i, "a": "".join(sorted("\x01" + w for w in deal.sample(words, 30))), "idf": []}
+    rows = [row(0, i) for i in range(3000)] + [row(1, i) for i in range(3000, 3100)] + [{"side": 2, "id": 0, "a": "".join("\x01" + w for w in words), "idf": [1.0 + i / 300 for i in range(300)]}]
+    table = pa.Table.from_pylist(rows, pa.schema([("side", pa.int32()), ("id", pa.int64()), ("a", pa.string()), ("idf", pa.list_(pa.float64()))]))
+    best = lambda: [x for b in module._of_task(table, ["a"], [1.0], 10) for x in zip(*b.to_pydict().values())]
+    with cProfile.Profile() as profile:
+        whole = best()
+    assert len(whole) == 1000 and sum(x.callcount for x in profile.getstats()) < 100 * 100
+    monkeypatch.setattr(module, "POSTINGS", 500)
+    monkeypatch.setattr(module, "STRETCH", 7)
+    monkeypatch.setattr(module, "TOGETHER", 30)
+    assert best() == whole
