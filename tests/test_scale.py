@@ -45,3 +45,10 @@ def test_windows_left_out_do_not_change_the_best():
     for _ in range(2000):
         a, b = sorted((text(9), text(20)), key=len)
         assert S.partial(a, b) == max(S.ratio(a, b[max(0, i) : i + len(a)]) for i in range(1 - len(a), len(b)))
+
+
+def test_tokens_are_weighed_by_record(spark, table):
+    path, _ = table
+    before = shuffled(spark)
+    assert len(QUERIES["direct_features"](spark, path).collect()) == 20_000
+    assert shuffled(spark) - before < 200_000
