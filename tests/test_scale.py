@@ -1,10 +1,12 @@
 """What queries on candidates may shuffle and read."""
 
+import cProfile
 import random
 
 import pytest
 
 from knotwork.functions import similarity as S
+from knotwork.operators import roles
 from knotwork.plans import link
 from knotwork.queries import QUERIES
 from test_nearest import shuffled
@@ -52,3 +54,17 @@ def test_tokens_are_weighed_by_record(spark, table):
     before = shuffled(spark)
     assert len(QUERIES["direct_features"](spark, path).collect()) == 20_000
     assert shuffled(spark) - before < 200_000
+
+
+def test_words_of_a_pair_are_compared_in_one_pass():
+    deal = random.Random(4)
+    words = lambda n, k: " ".join("".join(deal.choice("abcde") for _ in range(deal.randint(1, n))) for _ in range(k))
+    for _ in range(500):
+        a, b = words(9, deal.randint(0, 6)), words(9, deal.randint(0, 6))
+        x, y = set(a.split()), set(b.split())
+        best = [max(S.ratio(t, u) for u in y) for t in sorted(x - y)] if y else []
+        assert roles.unmatched(a, b)[0] == (0.0 if not x or not y else sum(best) / (100 * len(best)) if best else 1.0)
+    a, b = words(9, 20), words(9, 20)
+    with cProfile.Profile() as profile:
+        roles.unmatched(a, b)
+    assert sum(x.callcount for x in profile.getstats()) < 2500
