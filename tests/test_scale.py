@@ -6,6 +6,7 @@ import random
 import pytest
 
 from knotwork.functions import similarity as S
+from knotwork.functions import text
 from knotwork.operators import roles
 from knotwork.plans import link
 from knotwork.queries import QUERIES
@@ -68,3 +69,10 @@ def test_words_of_a_pair_are_compared_in_one_pass():
     with cProfile.Profile() as profile:
         roles.unmatched(a, b)
     assert sum(x.callcount for x in profile.getstats()) < 2500
+
+
+def test_a_word_of_an_address_is_mapped_once(spark):
+    column = text.address_tokens("a")
+    assert str(column).count("translate(") == 1
+    rows = spark.createDataFrame([("007th 0012b New York str33t 000",), ("Tamil Nadu & north carolina",), ("",)], "a string")
+    assert [r.x for r in rows.select(column.alias("x")).collect()] == [["7", "12", "b", "ny", "st", "0"], ["tn", "nc"], []]
