@@ -54,7 +54,7 @@ def test_tokens_are_weighed_by_record(spark, table):
     path, _ = table
     before = shuffled(spark)
     assert len(QUERIES["direct_features"](spark, path).collect()) == 20_000
-    assert shuffled(spark) - before < 200_000
+    assert shuffled(spark) - before < 30_000
 
 
 def test_words_of_a_pair_are_compared_in_one_pass():
